@@ -34,8 +34,8 @@ _TYPES = {str: "string", bool: "bool", int: "int", float: "float", type(None): "
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def value_types(objects: pd.Series) -> pd.Series:
     """JSON type of every top-level value."""
-    def types(text: str) -> list[tuple[str, str]]:
-        return [(key, _TYPES.get(type(value), "nested")) for key, value in json.loads(text).items()]
+    def types(text: str) -> dict[str, str]:
+        return {key: _TYPES.get(type(value), "nested") for key, value in json.loads(text).items()}
 
     return objects.map(types, na_action="ignore").astype(object)
 
