@@ -43,17 +43,16 @@ def _sides(pairs: DataFrame, row_id: str, ref: str, hyp: str) -> DataFrame:
 def gram_counts(pairs: DataFrame, row_id: str, ref: str, hyp: str) -> DataFrame:
     """(row_id, n, gram, in_ref, in_hyp): one aggregation covers both texts and every n."""
     words = _sides(pairs, row_id, ref, hyp)
-    listed = []
-    for side, is_ref in (("_ref", 1), ("_hyp", 0)):
-        for n in range(1, MAX_N + 1):
-            listed.append(
-                F.transform(
-                    ngrams(F.col(side), n),
-                    lambda gram, n=n, is_ref=is_ref: F.struct(
-                        F.lit(n).alias("n"), gram.alias("gram"), F.lit(is_ref).alias("is_ref")
-                    ),
-                )
-            )
+    def marked(side: str, n: int, is_ref: int) -> Column:
+        return F.transform(
+            ngrams(F.col(side), n),
+            lambda gram: F.struct(
+                F.lit(n).alias("n"), gram.alias("gram"), F.lit(is_ref).alias("is_ref")
+            ),
+        )
+
+    sizes = range(1, MAX_N + 1)
+    listed = [marked("_ref", n, 1) for n in sizes] + [marked("_hyp", n, 0) for n in sizes]
     spread = words.select("row_id", F.explode(F.concat(*listed)).alias("_g")).select(
         "row_id", "_g.n", "_g.gram", "_g.is_ref"
     )
