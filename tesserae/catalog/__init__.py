@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("samples", "geometry", "joins", "aggregates", "windows")
+MODULES = ("samples", "geometry", "joins", "aggregates", "windows", "sources", "agent", "streaming")
 
 
 def all_queries() -> tuple[dict, dict]:
