@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions.choices import choices_from_columns, normalize_choices
+from tesserae.functions.choices import choices_from_columns, no_options, normalize_choices
 from tesserae.functions.text import json_list, json_string, strip
 from tesserae.operators.joins import map_cases
 from tesserae.operators.samples import make_samples
@@ -64,6 +64,13 @@ def read_slide_qa_csv(
     return slide_samples(read_csv(spark, path, columns), dataset, assumed_mpp, cohorts)
 
 
+def _listed(options: Column) -> Column:
+    """Options of a list cell; a missing or empty list is an open question."""
+    return F.when(F.coalesce(F.size(options), F.lit(0)) <= 0, no_options()).otherwise(
+        normalize_choices(F.to_json(options))
+    )
+
+
 _NESTED_ROW = (
     "struct<No:string,img:string,question:string,options:array<string>,answer:string,"
     "source_img:string>"
@@ -107,7 +114,7 @@ def nested_samples(rows: DataFrame, dataset: str, image_root: str = "") -> DataF
         F.col("img").alias("image_id"),
         F.concat(F.lit(prefix), F.col("img")).alias("image_path"),
         "question",
-        normalize_choices(F.to_json("options")).alias("choices"),
+        _listed(F.col("options")).alias("choices"),
         "answer",
         "source",
     )
@@ -147,7 +154,7 @@ def case_rows(payloads: DataFrame, payload: str = "value", keys: Sequence[str] =
         "position",
         F.col("_c.Id").alias("case_id"),
         F.col("_c.Question").alias("question"),
-        normalize_choices(F.to_json("_c.Choice")).alias("choices"),
+        _listed(F.col("_c.Choice")).alias("choices"),
         F.col("_c.Answer").alias("answer"),
     )
 
