@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import SPACE, normalize_text, strip
+from tesserae.functions.text import SPACE, let, normalize_text, strip
 
 OPTIONS_TYPE = "array<struct<label:string,text:string>>"
 
@@ -31,29 +31,28 @@ def no_options() -> Column:
 
 def _keep_last(entries: Column) -> Column:
     """One entry per label: position of the first, text of the last."""
+    def same_label(entry: Column) -> Column:
+        return F.filter(entries, lambda other: other.label == entry.label)
+
     firsts = F.filter(
         entries,
         lambda entry, i: ~F.exists(F.slice(entries, 1, i), lambda other: other.label == entry.label),
     )
     return F.transform(
-        firsts,
-        lambda entry: option(
-            entry.label,
-            F.element_at(F.filter(entries, lambda other: other.label == entry.label), -1).text,
-        ),
+        firsts, lambda entry: option(entry.label, F.element_at(same_label(entry), -1).text)
     )
 
 
 def _from_list(items: Column) -> Column:
     def labelled(item: Column, i: Column) -> Column:
-        text = strip(F.coalesce(item, F.lit("")))
-        return F.when(
-            text.rlike(LABEL_PREFIX),
-            option(
-                F.regexp_extract(text, LABEL_PREFIX, 1),
-                strip(F.regexp_extract(text, LABEL_PREFIX, 2)),
-            ),
-        ).otherwise(option(F.char(F.lit(65) + i), text))
+        def read(text: Column) -> Column:
+            label = F.regexp_extract(text, LABEL_PREFIX, 1)
+            body = strip(F.regexp_extract(text, LABEL_PREFIX, 2))
+            return F.when(label != "", option(label, body)).otherwise(
+                option(F.char(F.lit(65) + i), text)
+            )
+
+        return let(strip(F.coalesce(item, F.lit(""))), read)
 
     # Blanks go after labelling: they use up their positional letter.
     return F.filter(F.transform(items, labelled), lambda entry: entry.text != "")
@@ -83,21 +82,28 @@ def _from_labelled(text: Column) -> Column:
 
 def checked(entries: Column) -> Column:
     """Null unless there are two or more options, all with one capital letter."""
-    unique = _keep_last(entries)
-    good = (F.size(unique) >= 2) & F.forall(unique, lambda entry: entry.label.rlike(r"\A[A-Z]\z"))
-    return F.when(good, unique)
+    def good(unique: Column) -> Column:
+        letters = F.forall(unique, lambda entry: entry.label.rlike(r"\A[A-Z]\z"))
+        return F.when((F.size(unique) >= 2) & letters, unique)
+
+    return let(entries, lambda found: let(_keep_last(found), good))
 
 
 def normalize_choices(raw: Column) -> Column:
     """Options from a JSON list, a JSON object or a labelled ``A. … B. …`` string."""
-    as_list = F.from_json(raw, "array<string>")
-    as_map = F.from_json(raw, "map<string,string>")
-    return F.when(F.coalesce(raw, F.lit("")) == "", no_options()).otherwise(
-        checked(
-            F.when(as_list.isNotNull(), _from_list(as_list))
-            .when(as_map.isNotNull(), _from_map(as_map))
+    def read(parsed: Column) -> Column:
+        return (
+            F.when(parsed.as_list.isNotNull(), _from_list(parsed.as_list))
+            .when(parsed.as_map.isNotNull(), _from_map(parsed.as_map))
             .otherwise(_from_labelled(raw))
         )
+
+    parsed = F.struct(
+        F.from_json(raw, "array<string>").alias("as_list"),
+        F.from_json(raw, "map<string,string>").alias("as_map"),
+    )
+    return F.when(F.coalesce(raw, F.lit("")) == "", no_options()).otherwise(
+        checked(let(parsed, read))
     )
 
 
@@ -107,7 +113,9 @@ def choices_from_columns(*texts: tuple[str, Column]) -> Column:
         *[option(F.lit(label), strip(F.coalesce(text, F.lit("")))) for label, text in texts]
     )
     present = F.filter(entries, lambda entry: entry.text != "")
-    return F.when(F.size(present) == 0, no_options()).otherwise(checked(present))
+    return let(
+        present, lambda found: F.when(F.size(found) == 0, no_options()).otherwise(checked(found))
+    )
 
 
 def text_of(choices: Column, label: Column) -> Column:
@@ -116,23 +124,25 @@ def text_of(choices: Column, label: Column) -> Column:
 
 def answer_label(answer: Column, choices: Column) -> Column:
     """Label meant by ``answer``, or null when that is not certain."""
-    text = strip(F.coalesce(answer, F.lit("")))
-    bare = F.regexp_extract(F.upper(text), BARE_LABEL, 1)
-    label = F.regexp_extract(text, LABEL_PREFIX, 1)
-    body = F.regexp_extract(text, LABEL_PREFIX, 2)
-    by_text = F.filter(
-        choices, lambda entry: normalize_text(entry.text) == normalize_text(text)
-    )
-    return (
-        F.when(F.coalesce(F.size(choices), F.lit(0)) <= 0, F.lit(None).cast("string"))
-        .when(text == "", F.lit(None).cast("string"))
-        .when((bare != "") & text_of(choices, bare).isNotNull(), bare)
-        .when(
-            label != "",
-            F.when(normalize_text(body) == normalize_text(text_of(choices, label)), label),
-        )
-        .when(F.size(by_text) == 1, F.get(by_text, F.lit(0)).label)
-    )
+    nothing = F.lit(None).cast("string")
+
+    def by_text(key: Column) -> Column:
+        hits = F.filter(choices, lambda entry: normalize_text(entry.text) == key)
+        return let(hits, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0)).label))
+
+    def by_label(text: Column) -> Column:
+        label = F.regexp_extract(text, LABEL_PREFIX, 1)
+        body = F.regexp_extract(text, LABEL_PREFIX, 2)
+        agrees = normalize_text(body) == normalize_text(text_of(choices, label))
+        return F.when(label == "", let(normalize_text(text), by_text)).when(agrees, label)
+
+    def read(text: Column) -> Column:
+        bare = F.regexp_extract(F.upper(text), BARE_LABEL, 1)
+        known = (bare != "") & text_of(choices, bare).isNotNull()
+        return F.when(text == "", nothing).when(known, bare).otherwise(by_label(text))
+
+    closed = F.coalesce(F.size(choices), F.lit(0)) > 0
+    return F.when(closed, let(strip(F.coalesce(answer, F.lit(""))), read))
 
 
 def choices_key(choices: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,13 +13,27 @@ SPACE = (
     r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+SPACE_RANGES = (
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
+    (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+)
+SPACE_CHARS = "".join(chr(c) for low, high in SPACE_RANGES for c in range(low, high + 1))
 
 # Case folding beyond lower-casing, for the letters that need it.
 FOLDS = (("ß", "ss"), ("ς", "σ"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once per row.
+
+    A value used inside a lambda is computed again for every element unless it is a
+    lambda variable itself.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, rf"\A{SPACE}+", ""), rf"{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def normalize_text(text: Column) -> Column:
@@ -49,11 +65,7 @@ def json_string(text: Column) -> Column:
     rare = common
     for char, escape in control_escapes():
         rare = F.replace(rare, F.lit(char), F.lit(escape))
-    escaped = (
-        F.when(~text.rlike(r'[\x00-\x1f"\\]'), text)
-        .when(text.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), rare)
-        .otherwise(common)
-    )
+    escaped = F.when(text.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), rare).otherwise(common)
     return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 

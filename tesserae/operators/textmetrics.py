@@ -35,7 +35,13 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def _sides(pairs: DataFrame, row_id: str, ref: str, hyp: str) -> DataFrame:
-    return pairs.select(
+    """Tokens of both texts, partitioned by row.
+
+    The texts are shuffled once by their row; every later count per row and gram then
+    happens where the row is, and the many times larger gram rows stay in place.
+    """
+    rows = pairs.repartition(row_id)
+    return rows.select(
         F.col(row_id).alias("row_id"), tokens(F.col(ref)).alias("_ref"), tokens(F.col(hyp)).alias("_hyp")
     )
 
@@ -136,9 +142,7 @@ def cider(pairs: DataFrame, row_id: str = "row_id", ref: str = "ref", hyp: str =
     combined before its shuffle and joined back per gram.
     """
     grams = gram_counts(pairs, row_id, ref, hyp)
-    frequency = (
-        grams.filter("in_ref > 0").groupBy("n", "gram").agg(F.count("*").alias("_df"))
-    )
+    frequency = grams.groupBy("n", "gram").agg(F.count_if(F.col("in_ref") > 0).alias("_df"))
     words = _sides(pairs, row_id, ref, hyp)
     corpus = words.agg(F.count("*").cast("double").alias("_docs"))
     idf = F.ln(F.col("_docs")) - F.ln(F.greatest(F.lit(1.0), F.coalesce(F.col("_df"), F.lit(0)).cast("double")))
