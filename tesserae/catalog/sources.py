@@ -23,11 +23,11 @@ def _write_csv(rows: DataFrame, path: str) -> None:
 
 
 @query("src_slide_qa", sql.using("qa", body=f"""
-SELECT 'bcnb:' || doc_id AS sample_id, source AS image_id, sha256(question) AS question_hash, {_LABELLED} AS choices,
+SELECT 'slides:' || doc_id AS sample_id, source AS image_id, sha256(question) AS question_hash, {_LABELLED} AS choices,
   gold AS ground_truth, CASE WHEN closed THEN gold END AS ground_truth_label, task, '' AS source, 0.5::DOUBLE AS assumed_mpp
 FROM qa
 UNION ALL
-SELECT 'cptac:' || doc_id, source, sha256(question), {_LABELLED}, gold, CASE WHEN closed THEN gold END,
+SELECT 'cohorts:' || doc_id, source, sha256(question), {_LABELLED}, gold, CASE WHEN closed THEN gold END,
   CASE WHEN doc_id % 3 = 0 THEN 'Tumor subtype' ELSE task END, task, NULL
 FROM qa"""))
 def src_slide_qa(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,8 +49,8 @@ def src_slide_qa(spark: SparkSession, sf: str) -> DataFrame:
         rows.select(*common, F.col("task").alias("Tumor"), blank.alias("Task"), *tail, F.lit("RELEASED").alias("Output")),
         second,
     )
-    a = annotations.read_slide_qa_csv(spark, first, "bcnb", 0.5)
-    b = annotations.read_slide_qa_csv(spark, second, "cptac", cohorts=True)
+    a = annotations.read_slide_qa_csv(spark, first, "slides", 0.5)
+    b = annotations.read_slide_qa_csv(spark, second, "cohorts", cohorts=True)
     return a.unionByName(b).select(
         "sample_id", "image_id", F.sha2("question", 256).alias("question_hash"),
         choices_key(F.col("choices")).alias("choices"), "ground_truth", "ground_truth_label",
@@ -59,7 +59,7 @@ def src_slide_qa(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("src_nested_qa", sql.using("qa", body=f"""
-SELECT 'pathmmu:' || source || ':' || split || ':' || doc_id AS sample_id, split, img AS image_id,
+SELECT 'nested:' || source || ':' || split || ':' || doc_id AS sample_id, split, img AS image_id,
   'images/' || img AS image_path, sha256(question) AS question_hash, {_LABELLED} AS choices,
   gold AS ground_truth, source, 'roi' AS input_kind FROM qa"""))
 def src_nested_qa(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +79,7 @@ def src_nested_qa(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "nested-qa")
     documents.write.text(path)
     read = annotations.nested_samples(
-        annotations.nested_rows(spark.read.text(path)), "pathmmu", "images"
+        annotations.nested_rows(spark.read.text(path)), "nested", "images"
     )
     return read.select(
         "sample_id", "split", "image_id", "image_path", F.sha2("question", 256).alias("question_hash"),
@@ -100,7 +100,7 @@ def src_nested_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("src_case_qa", sql.using("qa", body=f"""
-SELECT 'wsi_vqa:' || (doc_id // 100) || ':' || (doc_id % 100) AS sample_id,
+SELECT 'cases:' || (doc_id // 100) || ':' || (doc_id % 100) AS sample_id,
   CASE WHEN doc_id % 3 = 0 THEN 'case-' || doc_id ELSE 'slide_' || doc_id END AS image_id,
   CASE WHEN doc_id % 3 = 0 THEN '' ELSE '/slides/slide_' || doc_id || '.svs' END AS image_path,
   sha256(question) AS question_hash, {_LABELLED} AS choices, gold AS ground_truth FROM qa"""))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import tile_x, tile_y
+from tesserae.functions.text import json_list, json_object, json_string
 
 LEGACY = "legacy-v1"
 PAPER = "paper-prompts-nonthinking-2x-v1"
@@ -56,6 +59,66 @@ LEGACY_FINAL = (
     "Question: {question}{choices}\nAccumulated region evidence:\n{description}\n"
     "Prior inferences and actions:\n{history}"
 )
+PERCEPTOR_SYSTEM = (
+    "A conversation between a curious user and an AI medical assistant specialized in pathology "
+    "image analysis. The assistant can interpret pathology images, describe observed features, "
+    "and provide possible explanations based on medical knowledge, but will never give a "
+    "definitive diagnosis or prescribe treatment. The assistant must always maintain a polite, "
+    "clear, and professional tone. All answers should be supported by established, reliable "
+    "medical sources. The assistant should carefully consider visual details in pathology "
+    "images, such as cell morphology, staining patterns, and tissue architecture."
+)
+PREDICT_SYSTEM = (
+    "You are an expert AI pathology assistant. Your task is trying to answer the question "
+    "step-by-step based on the patch descriptions. Output ONLY a JSON object: "
+    '{"answer": "the final predicted answer (string)", '
+    '"thinking_steps": "your detailed reasoning, step-by-step (string)"}.'
+)
+REFLECT_SYSTEM = (
+    "You are an expert AI pathology assistant. Your task is to judge whether the current patch "
+    "descriptions are sufficient to confidently support the answer. Output ONLY a JSON object: "
+    '{"sufficient": "Yes" or "No"}.'
+)
+MISSING_SYSTEM = (
+    "You are an expert AI pathology assistant. Your task is to specify what visual evidence is "
+    "missing and whether zooming in could help obtain that evidence. Output ONLY a JSON object: "
+    '{"missing_info": "noun phrase", "zoom_recommendation": "Yes" or "No", '
+    '"recommended_zoom_level": "None" or an integer like 10 or 20 or 40, '
+    '"zoom_reason": "brief reason why zooming helps"}.'
+)
+FINAL_SYSTEM = (
+    "You are an expert slide-level pathology assistant. You will be given a question and "
+    "detailed patch-level descriptions of a pathology slide. Your task is to infer the specific "
+    "slide-level diagnostic result based on the provided evidence \u2014 not to define or explain "
+    "the medical term itself. The answer should directly reflect the information observable in "
+    "the slide, such as biomarker expression level, presence or absence of features, or a "
+    "numeric measurement."
+)
+SUMMARY_SYSTEM = (
+    "Summarize visible pathological findings, preserving region coordinates and each region's "
+    "scale. Do not give a final answer or diagnosis."
+)
+LEGACY_PREDICT_SYSTEM = (
+    "You are an expert AI pathology assistant. Based on the patch descriptions, try to answer "
+    "the question step-by-step. Output ONLY JSON: "
+    '{"answer": "predicted answer", "thinking_steps": "reasoning"}.'
+)
+LEGACY_REFLECT_SYSTEM = (
+    "Judge whether the current patch descriptions are sufficient to confidently support the "
+    'answer. Output ONLY JSON: {"sufficient": "Yes" or "No"}.'
+)
+LEGACY_MISSING_SYSTEM = (
+    "Specify missing visual evidence and whether zooming helps. Output ONLY JSON with keys "
+    "missing_info (short noun phrase), zoom_recommendation (Yes or No), zoom_level (number or "
+    "null), zoom_reason (string)."
+)
+LEGACY_FINAL_SYSTEM = (
+    "You are an expert slide-level pathology assistant. Integrate all visual evidence and prior "
+    "inferences to answer the specific question. Keep answer short. If choices are given, return "
+    "exactly one option text or its label. Output ONLY JSON with answer and explanation (both "
+    "strings)."
+)
+SUMMARY_USER = "Question: {question}\n{description}"
 CONTEXT_PERCEPTOR = "{metadata}\n{instruction}"
 ZOOM_MISSING = "\nMissing visual information to inspect: {missing_info}"
 RETRY = "Return one valid JSON object with the required keys and valid field values only."
@@ -80,6 +143,33 @@ TEMPLATES = {
     },
 }
 
+_PAPER_SYSTEMS = {
+    "predict": PREDICT_SYSTEM,
+    "reflect": REFLECT_SYSTEM,
+    "missing_info": MISSING_SYSTEM,
+    "final": FINAL_SYSTEM,
+}
+SYSTEMS = {
+    LEGACY: {
+        "predict": LEGACY_PREDICT_SYSTEM,
+        "reflect": LEGACY_REFLECT_SYSTEM,
+        "missing_info": LEGACY_MISSING_SYSTEM,
+        "final": LEGACY_FINAL_SYSTEM,
+    },
+    PAPER: _PAPER_SYSTEMS,
+    CONTEXT: _PAPER_SYSTEMS,
+}
+
+
+def messages(system: str, user: Column, retry: bool = False) -> Column:
+    """Chat messages as a JSON list; a retry asks once more for the right format."""
+    listed = [("system", F.lit(system)), ("user", user)]
+    if retry:
+        listed.append(("user", F.lit(RETRY)))
+    return json_list(
+        *[json_object(role=F.lit(f'"{role}"'), content=json_string(text)) for role, text in listed]
+    )
+
 
 def fill(template: str, **fields: Column) -> Column:
     """A template with ``{name}`` slots as one ``concat`` over literals and columns."""
@@ -93,8 +183,6 @@ def fill(template: str, **fields: Column) -> Column:
 
 
 def slots(template: str) -> list[tuple[str, str | None]]:
-    from string import Formatter
-
     return [(literal, name) for literal, name, _, _ in Formatter().parse(template)]
 
 

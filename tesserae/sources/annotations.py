@@ -11,6 +11,7 @@ from tesserae.functions.choices import choices_from_columns, no_options, normali
 from tesserae.functions.text import json_list, json_string, strip
 from tesserae.operators.joins import map_cases
 from tesserae.operators.samples import make_samples
+from tesserae.runtime import require_empty
 
 # Columns of the slide question table and the mandatory parts of the nested one.
 SLIDE_COLUMNS = ("ID", "Slide", "Task", "Question", "A", "B", "C", "D", "Answer")
@@ -127,7 +128,7 @@ def read_nested_qa_json(
     sources: Sequence[str] = NESTED_SOURCES,
     splits: Sequence[str] = NESTED_SPLITS,
     lines: bool = False,
-    dataset: str = "pathmmu",
+    dataset: str = "nested",
     image_root: str = "",
 ) -> DataFrame:
     """Samples of a nested release: a document per file, or with ``lines`` one per line."""
@@ -164,13 +165,11 @@ def case_samples(
     slide_map: DataFrame,
     sid: Column,
     image_root: str = "",
-    dataset: str = "wsi_vqa",
+    dataset: str = "cases",
     require_images: bool = False,
 ) -> DataFrame:
     mapped = map_cases(rows, slide_map, image_root, require_images)
     if require_images:
-        from tesserae.runtime import require_empty
-
         require_empty(mapped.filter("unmapped"), "case without a slide")
     return make_samples(mapped.withColumn("sid", sid), dataset, "test")
 
