@@ -265,10 +265,7 @@ def scl_coords_from_name(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_TEMPLATE_SQL = {
-    "patch": "'[' || name || ' | Coord=' || CASE WHEN vec_id % 5 IN (0, 2) THEN '(' || x || ',' || y || ')' "
-             "ELSE '(unknown)' END || '] ' || description",
-}
+FINDINGS_PER_PROMPT = 3
 
 
 def _quoted(text: str) -> str:
@@ -302,28 +299,40 @@ _PROMPTS_SQL = " UNION ALL ".join(
 )
 
 
-@query("scl_render_prompts", sql.using("qa", "regions", _NAMES, f"""found AS (
+_PATCH_SQL = (
+    "'[' || name || ' | Coord=' || CASE WHEN vec_id % 5 IN (0, 2) THEN '(' || x || ',' || y || ')' "
+    "ELSE '(unknown)' END || '] ' || description"
+)
+_FOUND_SQL = f"""found AS (
   SELECT qa.*, '[Current Magnification: 5x]' || chr(10) || chr(10) || t AS text_block
   FROM qa JOIN (
-    SELECT vec_id % 97 AS slot, string_agg({_TEMPLATE_SQL['patch']}, chr(10) || chr(10) ORDER BY vec_id) AS t
-    FROM names JOIN regions r USING (vec_id, x, y)
-    WHERE vec_id // 97 < 5 GROUP BY slot) p ON qa.doc_id % 97 = p.slot)""", body=_PROMPTS_SQL))
-def scl_render_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompts of all stages and protocols, over five findings per question.
+    SELECT doc_id, string_agg({_PATCH_SQL}, chr(10) || chr(10) ORDER BY k) AS t
+    FROM documents, (VALUES (1), (2), (3)) z(k), (SELECT count(*) AS n FROM embeddings) c
+    JOIN (SELECT r.*, names.name FROM regions r JOIN names USING (vec_id)) p
+      ON p.vec_id = (doc_id * k + k) % n
+    GROUP BY doc_id) e USING (doc_id))"""
 
-    Five is the number of regions that a round describes for its question.
-    """
+
+@query("scl_render_prompts", sql.using("qa", "regions", _NAMES, _FOUND_SQL, body=_PROMPTS_SQL))
+def scl_render_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts of all stages and protocols, over three findings per question."""
     named = _tile_names(spark, sf)
     line = prompts.patch_line(F.col("name"), F.col("description"))
-    found = named.filter(F.floor(F.col("vec_id") / 97) < 5).groupBy(
-        (F.col("vec_id") % 97).alias("slot")
-    ).agg(F.array_sort(F.collect_list(F.struct("vec_id", line.alias("line")))).alias("_l"))
-    body = F.array_join(F.transform("_l", lambda entry: entry["line"]), "\n\n")
-    text = F.concat(prompts.magnification_header(F.lit(5)), body)
+    lines = named.select("vec_id", line.alias("line"))
+    total = named.agg(F.count("*").alias("_n"))
     rows = fx.qa(spark, sf)
-    joined = rows.withColumn("slot", F.col("doc_id") % 97).join(
-        found.select("slot", text.alias("text_block")), "slot"
+    k = F.explode(F.sequence(F.lit(1), F.lit(FINDINGS_PER_PROMPT))).alias("k")
+    wanted = (
+        rows.select("doc_id", k)
+        .crossJoin(F.broadcast(total))
+        .select("doc_id", "k", ((F.col("doc_id") * F.col("k") + F.col("k")) % F.col("_n")).alias("vec_id"))
+    )
+    found = wanted.join(lines, "vec_id").groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("k", "line"))).alias("_l")
     )
+    body = F.array_join(F.transform("_l", lambda entry: entry["line"]), "\n\n")
+    text = F.concat(prompts.magnification_header(F.lit(5)), body)
+    joined = rows.join(found.select("doc_id", text.alias("text_block")), "doc_id")
     prediction = F.concat(F.lit('{"answer": '), json_string(F.col("gold_text")), F.lit("}"))
     fields = {
         "description": F.col("text_block"), "question": F.col("question"),

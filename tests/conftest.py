@@ -5,4 +5,4 @@ from tests.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("4")
+    return local_session("4", partitions=3)

@@ -8,12 +8,12 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: str | None = None) -> SparkSession:
+def local_session(cpus: str | None = None, partitions: int = 8) -> SparkSession:
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tesserae")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
@@ -21,6 +21,8 @@ def local_session(cpus: str | None = None) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
+        # Call-site capture costs several driver round trips per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
