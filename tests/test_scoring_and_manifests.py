@@ -107,3 +107,22 @@ def test_pending_rules(spark):
     ids = lambda protocol: {r.sample_id for r in joins.pending(work, done, protocol).collect()}
     assert ids("legacy-v1") == {"test:2", "test:3"}
     assert ids("paper-prompts-nonthinking-2x-v1") == {"test:3"}
+
+
+def test_result_files_of_many_runs(spark):
+    from tesserae.sources.results import checked_results, read_results, write_results
+
+    root = scratch_path(spark, "runs")
+    first = results(spark).drop("run")
+    second = first.withColumn("sample_id", F.concat("sample_id", F.lit("b"))).withColumn("run_hash", F.lit("h2"))
+    write_results(first, root, "r0")
+    write_results(second, root, "r1")
+    read = read_results(spark, root)
+    assert {(r.sample_id, r.run, r.run_hash) for r in read.collect()} == {
+        *((f"test:{i}", "r0", "h") for i in range(3)), *((f"test:{i}b", "r1", "h2") for i in range(3))}
+    locks = spark.createDataFrame([("r0", "h", "c", "s"), ("r1", "h2", "c", "s")],
+                                  "run string, lock_hash string, config_hash string, code_hash string")
+    assert checked_results(read, locks).count() == 6
+    write_results(first, root, "r1")
+    with pytest.raises(ValueError, match="repeated"):
+        checked_results(read_results(spark, root), locks)
