@@ -199,11 +199,14 @@ def agg_cost_history(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("agg_profile", sql.using("model_calls", body="""
 SELECT stage, case_id, count(*) AS calls, round(sum(seconds), 4) AS seconds, sum(output_tokens)::BIGINT AS output_tokens,
+  sum(input_tokens)::BIGINT AS input_tokens, round(avg(seconds), 6) AS mean_seconds,
   count(*) FILTER (WHERE output_tokens >= 90) AS cap_hits, (grouping(stage) * 2 + grouping(case_id))::BIGINT AS level
 FROM model_calls GROUP BY ROLLUP (stage, case_id)"""))
 def agg_profile(spark: SparkSession, sf: str) -> DataFrame:
     profile = profiles.profile_calls(fx.model_calls(spark, sf), cap=90)
-    return profile.withColumn("seconds", F.round("seconds", 4))
+    return profile.withColumns(
+        {"seconds": F.round("seconds", 4), "mean_seconds": F.round("mean_seconds", 6)}
+    )
 
 
 @query("agg_image_profile", sql.using("image_rows", "order_images", body="""

@@ -198,6 +198,7 @@ def model_calls(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").cast("string").alias("case_id"),
         F.col("event_type").alias("stage"),
         F.col("value").alias("seconds"),
+        (F.length("props") + F.get_json_object("props", "$.k").cast("bigint")).alias("input_tokens"),
         F.get_json_object("props", "$.k").cast("bigint").alias("output_tokens"),
     )
 

@@ -132,12 +132,16 @@ def prj_expected_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("prj_availability", sql.using("qa", "files", body="""
-SELECT source, count(*) AS release_questions, count(*) FILTER (WHERE here) AS available_questions,
+@query("prj_availability", sql.using("qa", "files", """cells AS (
+  SELECT *, img IN (SELECT img FROM files) AS here FROM qa)""", body="""
+SELECT CASE WHEN grouping(task) = 0 THEN 'task' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS kind,
+  coalesce(task, source, '') AS name, count(*) AS release_questions, count(DISTINCT image_id) AS release_images,
+  count(*) FILTER (WHERE here) AS available_questions, count(DISTINCT image_id) FILTER (WHERE here) AS available_images,
   count(*) FILTER (WHERE NOT here) AS missing_questions
-FROM (SELECT source, img IN (SELECT img FROM files) AS here FROM qa) GROUP BY source"""))
+FROM cells GROUP BY GROUPING SETS ((), (task), (source))"""))
 def prj_availability(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.availability(fx.qa(spark, sf), fx.files(spark, sf))
+    rows = fx.qa(spark, sf).select("image_id", "img", "task", "source")
+    return ops.availability(rows, fx.files(spark, sf))
 
 
 @query("prj_letter_to_text", sql.using("qa", body="""

@@ -144,7 +144,7 @@ ORDER_IMAGES = """order_images AS (
 
 CALLS = """model_calls AS (
   SELECT event_id, ts, user_id::VARCHAR AS case_id, event_type AS stage, value AS seconds,
-    (props->>'$.k')::BIGINT AS output_tokens
+    length(props) + (props->>'$.k')::BIGINT AS input_tokens, (props->>'$.k')::BIGINT AS output_tokens
   FROM events)"""
 
 _SUFFIX = "['.jpg', '.JPEG', '.svs', '.txt'][doc_id % 4 + 1]"

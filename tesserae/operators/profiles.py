@@ -15,19 +15,17 @@ def profile_calls(calls: DataFrame, cap: int | Column | None = None) -> DataFram
     The fine level is aggregated first; the two coarser ones are sums of it.
     """
     at_cap = F.lit(False) if cap is None else F.coalesce(F.col("output_tokens") >= cap, F.lit(False))
+    sums = ["seconds", "input_tokens", "output_tokens"]
     fine = calls.groupBy("stage", "case_id").agg(
         F.count("*").alias("calls"),
-        F.sum("seconds").alias("seconds"),
-        F.sum("output_tokens").alias("output_tokens"),
+        *[F.sum(name).alias(name) for name in sums],
         F.count_if(at_cap).alias("cap_hits"),
     )
-    return fine.rollup("stage", "case_id").agg(
-        F.sum("calls").alias("calls"),
-        F.sum("seconds").alias("seconds"),
-        F.sum("output_tokens").alias("output_tokens"),
-        F.sum("cap_hits").alias("cap_hits"),
-        F.grouping_id().cast("bigint").alias("level"),
+    totals = [F.sum(name).alias(name) for name in ("calls", *sums, "cap_hits")]
+    rolled = fine.rollup("stage", "case_id").agg(
+        *totals, F.grouping_id().cast("bigint").alias("level")
     )
+    return rolled.withColumn("mean_seconds", F.col("seconds") / F.col("calls"))
 
 
 def image_profile(calls: DataFrame, samples: DataFrame, regions: DataFrame) -> DataFrame:

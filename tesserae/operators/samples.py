@@ -191,13 +191,21 @@ def summarize(df: DataFrame) -> DataFrame:
 
 
 def availability(samples: DataFrame, present: DataFrame, key: str = "img") -> DataFrame:
-    """Release and available summaries side by side, with the missing question count."""
-    known = samples.join(
-        present.select(F.col(key)).distinct().withColumn("_here", F.lit(True)), key, "left"
-    )
-    here = F.col("_here").isNotNull()
-    return known.groupBy("source").agg(
-        F.count("*").alias("release_questions"),
-        F.count_if(here).alias("available_questions"),
-        F.count_if(~here).alias("missing_questions"),
+    """Summaries of the release and of its available part, with the missing questions."""
+    here = samples.join(present.select(key), key, "left_semi")
+    release, available = [
+        summarize(side).withColumnsRenamed(
+            {"questions": f"{name}_questions", "images": f"{name}_images"}
+        )
+        for name, side in (("release", samples), ("available", here))
+    ]
+    found = [F.coalesce(f"available_{c}", F.lit(0)).cast("bigint") for c in ("questions", "images")]
+    return release.join(available, ["kind", "name"], "left").select(
+        "kind",
+        "name",
+        "release_questions",
+        "release_images",
+        found[0].alias("available_questions"),
+        found[1].alias("available_images"),
+        (F.col("release_questions") - found[0]).alias("missing_questions"),
     )
