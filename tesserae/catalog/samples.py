@@ -22,7 +22,7 @@ from tesserae.functions.responses import strip_think
 from tesserae.functions.text import json_string, normalize_text
 from tesserae.functions.vectors import norm
 from tesserae.operators import samples as ops
-from tesserae.operators.conversations import STYLES, Style, render_conversation
+from tesserae.operators.conversations import STYLES, Style, render_styles
 from tesserae.operators.joins import resolve_images
 from tesserae.operators.regions import scale_columns
 from tesserae.operators.responses import validate_responses
@@ -409,17 +409,10 @@ FROM (SELECT conv_id, turn, role, CASE WHEN turn > 0 AND (conv_id + turn) % 9 =
 def scl_render_conversation(spark: SparkSession, sf: str) -> DataFrame:
     silent = (F.col("turn") > 0) & ((F.col("conv_id") + F.col("turn")) % 9 == 0)
     turns = table(spark, sf, "conversations").withColumn("text", F.when(~silent, F.col("text")))
-    parts = [
-        render_conversation(turns, _styled(name), ["conv_id"]).select(
-            "conv_id", F.lit(name).alias("style"), "piece", "turns",
-            F.sha2("prompt", 256).alias("prompt_hash"),
-        )
-        for name in _CONVERSATION_SQL
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    styles = {name: _styled(name) for name in _CONVERSATION_SQL}
+    return render_styles(turns, styles, ["conv_id"]).select(
+        "conv_id", "style", "piece", "turns", F.sha2("prompt", 256).alias("prompt_hash")
+    )
 
 
 _RESPONSE_OK = """(conv_id * 3 + turn) % 5 <> 4 AND CASE conv_id % 4

@@ -63,27 +63,42 @@ def turn_text(style: Style, turn: Column, role: Column, text: Column) -> Column:
     raise ValueError(f"unknown style {style.kind}")
 
 
-def render_conversation(
-    turns: DataFrame, style: Style, keys: Sequence[str], piece: int = TURNS_PER_PIECE
+def render_styles(
+    turns: DataFrame, styles: dict[str, Style], keys: Sequence[str], piece: int = TURNS_PER_PIECE
 ) -> DataFrame:
-    """(keys, piece, turns, prompt): the prompt in ordered pieces.
+    """(keys, style, piece, turns, prompt): prompts in ordered pieces, all styles in one pass.
 
-    ``turns`` has (keys, turn, role, text). A piece holds a fixed number of turns, so a
-    conversation of any length is never gathered in one place; most have a single piece.
+    ``turns`` has (keys, turn, role, text); ``turn`` is the 0-based place of a message. A
+    piece holds a fixed number of turns, so a conversation of any length is never gathered
+    in one place; most have a single piece.
     """
+    spoken = [
+        F.struct(
+            F.lit(name).alias("style"),
+            turn_text(style, F.col("turn"), F.col("role"), F.col("text")).alias("said"),
+        )
+        for name, style in styles.items()
+    ]
     said = turns.select(
         *keys,
         "turn",
         F.floor(F.col("turn") / piece).cast("bigint").alias("piece"),
-        turn_text(style, F.col("turn"), F.col("role"), F.col("text")).alias("_said"),
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "_said")))
-    return said.groupBy(*keys, "piece").agg(
+        F.explode(F.array(*spoken)).alias("_s"),
+    ).select(*keys, "turn", "piece", "_s.style", "_s.said")
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "said")))
+    return said.groupBy(*keys, "style", "piece").agg(
         F.count("*").alias("turns"),
-        F.array_join(F.transform(ordered, lambda entry: entry["_said"]), "").alias("prompt"),
+        F.array_join(F.transform(ordered, lambda entry: entry["said"]), "").alias("prompt"),
     )
 
 
+def render_conversation(
+    turns: DataFrame, style: Style, keys: Sequence[str], piece: int = TURNS_PER_PIECE
+) -> DataFrame:
+    """(keys, piece, turns, prompt) in one style."""
+    return render_styles(turns, {style.kind: style}, keys, piece).drop("style")
+
+
 def first_turn_problems(turns: DataFrame, keys: Sequence[str], user_role: str) -> DataFrame:
     """Conversations that the LLAMA_2 style cannot start with."""
     bad = (F.coalesce(F.col("text"), F.lit("")) == "") | (F.col("role") != user_role)
