@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import mixing, sharding, simhash
+from tesserae.llm import backoff, langid, mixing, sharding, simhash
+from tesserae.llm.common import crc_bucket
 from tesserae.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +94,19 @@ FROM leaves
 @query("op9_extendible_shards", SHARD_SQL)
 def op9_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_bucket(F.col("doc_id"), 4) == 2
+    labelled = docs.filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    models = langid.train(labelled.withColumnRenamed("doc_id", "key"))
+    found = langid.identify(docs.select("doc_id", "text"), models)
+    return found.select("doc_id", held_out.alias("held_out"), "__lang.*")
+
+
+@query("op7_backoff_scores")
+def op7_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return backoff.score_documents(docs, crc_bucket(F.col("doc_id"), 7) == 2)

@@ -30,6 +30,9 @@ SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
 BUCKET_LIMIT = 2048
+#: With so few bits open, a bucket has at most 2,048 fingerprints: these bits and the three
+#: that were taken out on the way.
+OPEN_BITS = 8
 HASHES_AT_ONCE = 1 << 16
 
 
@@ -151,11 +154,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_L
         told = "n > 1 and (first or ((any ^ all) & bit) <> 0)"
         shared = written(buckets.filter(told).drop("any", "all", "bit", "first"), "buckets")
         pairs = shared.filter(f"n = 2 and bit_count(a ^ b) <= {max_bits}").select("a", "b")
-        several = small(shared.filter(f"n > 2 and n <= {bucket_limit}").select(*keys))
+        several = small(shared.filter(f"n > 2 and (n <= {bucket_limit} or width <= {OPEN_BITS})").select(*keys))
         gathered = signed.join(several, keys).groupBy(*keys).agg(F.collect_list("fp").alias("members"))
         part = pairs.unionByName(_bucket_links(gathered, max_bits))
         found = part if found is None else found.unionByName(part)
-        large = shared.filter(f"n > {bucket_limit}").select(*keys)
+        large = shared.filter(f"n > {bucket_limit} and width > {OPEN_BITS}").select(*keys)
         if not large.take(1):
             return found.distinct()
         members = written(signed.join(large, keys).select("fp", "mask", "lo", "width").distinct(), "hot")
