@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import backoff, langid, mixing, sharding, simhash
+from tesserae.llm import backoff, langid, mixing, packing, sharding, simhash
 from tesserae.llm.common import crc_bucket
 from tesserae.runtime import table
 
@@ -110,3 +111,17 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return backoff.score_documents(docs, crc_bucket(F.col("doc_id"), 7) == 2)
+
+
+def pack_with_public_tokenizer(docs: DataFrame) -> DataFrame:
+    return packing.pack_documents(
+        docs,
+        str(public_tokenizers.path("byte_bpe_50k.json")),
+        str(public_tokenizers.path("byte_bpe_50k.tiktoken")),
+        public_tokenizers.PATTERN,
+    )
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_with_public_tokenizer(table(spark, sf_dir, "documents"))
