@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import backoff, langid, mixing, packing, sharding, simhash
+from tesserae.llm import backoff, langid, mixing, packing, permutation, sharding, simhash
 from tesserae.llm.common import crc_bucket
 from tesserae.runtime import table
 
@@ -125,3 +125,9 @@ def pack_with_public_tokenizer(docs: DataFrame) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_with_public_tokenizer(table(spark, sf_dir, "documents"))
+
+
+@query("op3_permutation_index")
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutation.nearest(vectors, F.col("vec_id") % 20 == 0)
