@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import backoff, langid, mixing, packing, permutation, sharding, simhash
+from tesserae.llm import backoff, langid, mixing, packing, permutation, sharding, simhash, transducer
 from tesserae.llm.common import crc_bucket
 from tesserae.runtime import table
 
@@ -131,3 +131,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return permutation.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query("op8_transducer_counts")
+def op8_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    counted = transducer.count_tokens(table(spark, sf_dir, "documents"), path)
+    return counted.withColumn("over_limit", F.col("n_tokens") > transducer.LIMIT_TOKENS)
