@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import backoff, langid, mixing, packing, permutation, sharding, simhash, transducer
+from tesserae.llm import backoff, importance, langid, mixing, packing, permutation, sharding, simhash, transducer
 from tesserae.llm.common import crc_bucket
 from tesserae.runtime import table
 
@@ -138,3 +138,9 @@ def op8_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     counted = transducer.count_tokens(table(spark, sf_dir, "documents"), path)
     return counted.withColumn("over_limit", F.col("n_tokens") > transducer.LIMIT_TOKENS)
+
+
+@query("op1_importance_resampling")
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return importance.resample(docs, table(spark, sf_dir, "labels"))
