@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import backoff, importance, langid, mixing, packing, permutation, sharding, simhash, transducer
+from tesserae.llm import backoff, bm25, importance, langid, mixing, packing, permutation, sharding, simhash, transducer
 from tesserae.llm.common import crc_bucket
 from tesserae.runtime import table
 
@@ -144,3 +144,45 @@ def op8_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return importance.resample(docs, table(spark, sf_dir, "labels"))
+
+
+BM25_SQL = f"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x20\\x09-\\x0D]+')) AS term
+  FROM documents),
+asked AS (
+  SELECT item_id AS query_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x20\\x09-\\x0D]+')) AS term
+  FROM benchmark),
+terms AS (SELECT query_id, term, count(*) AS repeats FROM asked GROUP BY 1, 2),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY 1, 2),
+lengths AS (
+  SELECT d.doc_id, coalesce(w.n, 0) AS n
+  FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM words GROUP BY 1) w USING (doc_id)),
+total AS (SELECT count(*) AS docs, sum(n)::DOUBLE / count(*) AS mean FROM lengths),
+weights AS (
+  SELECT term, ln(1 + (t.docs - c.df + 0.5::DOUBLE) / (c.df + 0.5::DOUBLE)) AS idf
+  FROM (SELECT term, count(*) AS df FROM counts GROUP BY 1) c, total t),
+scored AS (
+  SELECT q.query_id, c.doc_id,
+         sum(round(q.repeats * w.idf * c.tf * ({bm25.K1}::DOUBLE + 1)
+             / (c.tf + {bm25.K1}::DOUBLE * (1 - {bm25.B}::DOUBLE + {bm25.B}::DOUBLE * l.n / t.mean))
+             / 1e-6::DOUBLE)::BIGINT)::BIGINT AS units
+  FROM terms q JOIN counts c USING (term) JOIN weights w USING (term)
+       JOIN lengths l USING (doc_id), total t
+  GROUP BY 1, 2),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, doc_id) AS rank
+  FROM scored WHERE units > 0)
+SELECT query_id, rank, doc_id, units * 1e-6::DOUBLE AS score FROM ranked WHERE rank <= {bm25.K}
+"""
+
+
+@query("op4_block_max_search", BM25_SQL)
+def op4_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = bm25.build_index(table(spark, sf_dir, "documents"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return bm25.search(asked, index)
