@@ -33,6 +33,8 @@ BUCKET_LIMIT = 2048
 #: With so few bits open, a bucket has at most 2,048 fingerprints: these bits and the three
 #: that were taken out on the way.
 OPEN_BITS = 8
+SIGNATURES = 64
+SIGNATURES_A_TASK = 4_000_000
 HASHES_AT_ONCE = 1 << 16
 
 
@@ -72,29 +74,23 @@ def fingerprints(text: Column, width: int = SHINGLE, seed: int = SEED) -> Column
     return of_texts(text)
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
 def _variants(members: DataFrame) -> DataFrame:
-    """Signatures of members (fp, mask, lo, width): cut the open bits [lo, lo + width) into two
-    halves; a signature fixes one half but for one bit. The other half stays open."""
+    """Signatures of members (view, fp, mask, lo, width): cut the open bits [lo, lo + width)
+    into two halves; a signature fixes one half but for one bit, the other half stays open."""
     half = "(width div 2)"
     cuts = F.expr(
         f"explode(transform(sequence(0, 2 * {half} - 1), i -> named_struct("
-        f"'bit', shiftleft(1L, lo + i), "
         f"'mask', mask | (shiftleft(CASE WHEN {half} = 32 THEN 4294967295L "
         f"ELSE shiftleft(1L, {half}) - 1 END, lo + (i div {half}) * {half}) & ~shiftleft(1L, lo + i)), "
-        f"'lo', IF(i < {half}, lo + {half}, lo), 'first', i % {half} = 0)))"
+        f"'lo', IF(i < {half}, lo + {half}, lo))))"
     )
-    return members.select("fp", F.expr(f"CAST({half} AS INT)").alias("width"), cuts.alias("cut")).select(
+    return members.select("view", "fp", F.expr(f"CAST({half} AS INT)").alias("width"), cuts.alias("cut")).select(
+        "view",
         "fp",
-        "width",
-        F.col("cut.bit").alias("bit"),
         F.col("cut.mask").alias("mask"),
-        F.col("cut.lo").cast("int").alias("lo"),
-        F.col("cut.first").alias("first"),
         F.expr("fp & cut.mask").alias("value"),
+        F.col("cut.lo").cast("int").alias("lo"),
+        "width",
     )
 
 
@@ -118,50 +114,50 @@ def _bucket_links(buckets: DataFrame, max_bits: int) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             links = [
-                link
-                for members in batch["members"]
+                (view, *link)
+                for view, members in zip(batch["view"], batch["members"], strict=True)
                 for link in _spanning(np.asarray(members, dtype=np.int64), max_bits)
             ]
             if links:
-                yield pd.DataFrame(np.array(links, dtype=np.int64), columns=["a", "b"])
+                yield pd.DataFrame(links, columns=["view", "a", "b"])
 
-    return buckets.select("members").mapInPandas(scan, "a bigint, b bigint")
+    return buckets.select("view", "members").mapInPandas(scan, "view int, a bigint, b bigint")
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Links (a, b) whose classes are those of all pairs within ``max_bits``, from a written
-    table of distinct fingerprints (fp)."""
-    if not 0 <= max_bits <= 3:
-        raise ValueError("two halves only serve up to three differing bits")
-    keys = ["mask", "value", "lo", "width"]
-    members = fps.select(
-        "fp", F.lit(0).cast("bigint").alias("mask"), F.lit(0).alias("lo"), F.lit(64).alias("width")
+def links(
+    fps: DataFrame,
+    max_bits: int = MAX_BITS,
+    bucket_limit: int = BUCKET_LIMIT,
+) -> DataFrame:
+    """Links (view, a, b) between fingerprints of a written table of distinct (view, fp).
+
+    Up to three differing bits, their classes are those of all pairs within ``max_bits``. A
+    larger ``max_bits`` adds links where fingerprints meet in a bucket all the same.
+    """
+    keys = ["view", "mask", "value"]
+    parts = max(1, fps.count() * SIGNATURES // SIGNATURES_A_TASK)
+    members = fps.repartition(parts).select(
+        "view", "fp", F.lit(0).cast("bigint").alias("mask"), F.lit(0).alias("lo"), F.lit(64).alias("width")
     )
-    found = None
+    found, open_bits = None, 32
     while True:
         signed = _variants(members)
         buckets = signed.groupBy(*keys).agg(
-            F.count("*").alias("n"),
-            F.min("fp").alias("a"),
-            F.max("fp").alias("b"),
-            F.bit_or("fp").alias("any"),
-            F.bit_and("fp").alias("all"),
-            F.first("bit").alias("bit"),
-            F.first("first").alias("first"),
+            F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")
         )
-        # Without a difference at the bit taken out, the bucket repeats what the first
-        # signature of its half holds.
-        told = "n > 1 and (first or ((any ^ all) & bit) <> 0)"
-        shared = written(buckets.filter(told).drop("any", "all", "bit", "first"), "buckets")
-        pairs = shared.filter(f"n = 2 and bit_count(a ^ b) <= {max_bits}").select("a", "b")
-        several = small(shared.filter(f"n > 2 and (n <= {bucket_limit} or width <= {OPEN_BITS})").select(*keys))
+        shared = written(buckets.filter("n > 1"), "buckets")
+        pairs = shared.filter(f"n = 2 and bit_count(a ^ b) <= {max_bits}").select("view", "a", "b")
+        bounded = F.lit(open_bits <= OPEN_BITS) | (F.col("n") <= bucket_limit)
+        several = small(shared.filter((F.col("n") > 2) & bounded).select(*keys))
         gathered = signed.join(several, keys).groupBy(*keys).agg(F.collect_list("fp").alias("members"))
         part = pairs.unionByName(_bucket_links(gathered, max_bits))
         found = part if found is None else found.unionByName(part)
-        large = shared.filter(f"n > {bucket_limit} and width > {OPEN_BITS}").select(*keys)
+        large = shared.filter(~bounded).select(*keys)
         if not large.take(1):
             return found.distinct()
-        members = written(signed.join(large, keys).select("fp", "mask", "lo", "width").distinct(), "hot")
+        columns = ["view", "fp", "mask", "lo", "width"]
+        members = written(signed.join(large, keys).select(*columns).distinct(), "hot")
+        open_bits //= 2
 
 
 def near_duplicates(
@@ -172,14 +168,104 @@ def near_duplicates(
     bucket_limit: int = BUCKET_LIMIT,
 ) -> DataFrame:
     """(doc_id, fp, component_id) of documents (doc_id, text)."""
+    if not 0 <= max_bits <= 3:
+        raise ValueError("two halves only find all links of up to three differing bits")
     hashed = docs.select("doc_id", fingerprints(F.col("text"), width, seed).alias("fp"))
     hashed = written(hashed, "fingerprints")
     fps = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(fps, max_bits, bucket_limit))
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select(
+    found = links(fps.select(F.lit(0).alias("view"), "fp"), max_bits, bucket_limit)
+    rooted = fps.join(components(found), fps["fp"] == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     rooted = written(rooted, "rooted")
     ids = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     classes = written(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "classes")
     return hashed.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def _view_fingerprints(text: Column, width: int, views: int) -> Column:
+    @F.pandas_udf("array<bigint>")
+    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[fingerprint(t, width, SEED + v) for v in range(views)] for t in texts])
+
+    return of_texts(text)
+
+
+def shingle_set(text: str | None, width: int) -> set[bytes]:
+    found: set[bytes] = set()
+    for run in word_runs(text, keep=width - 1):
+        found.update(b" ".join(run[i : i + width]) for i in range(max(1, len(run) - width + 1)))
+    return found
+
+
+def jaccard(a: str | None, b: str | None, width: int) -> float:
+    left, right = shingle_set(a, width), shingle_set(b, width)
+    both = len(left & right)
+    return both / (len(left) + len(right) - both) if left or right else 1.0
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts (node, text) whose shingle sets are similar enough."""
+
+    @F.pandas_udf("boolean")
+    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(a, b, width) >= similarity for a, b in zip(left, right, strict=True)], dtype=bool)
+
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
+    return pairs.join(left, "a").join(right, "b").filter(similar("left", "right")).select("a", "b")
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    width: int = 2,
+    max_bits: int = 10,
+    views: int = 3,
+    verify_width: int = 5,
+    similarity: float = 0.8,
+    bucket_limit: int = BUCKET_LIMIT,
+) -> DataFrame:
+    """``docs`` without near copies: of each component the row of least id stays.
+
+    Texts are compared by the signatures of ``views`` fingerprints with seeds of their own,
+    and linked if their shingles of ``verify_width`` words have a Jaccard similarity of at
+    least ``similarity``. Equal texts are one node, named by a 64-bit hash. A null id comes
+    last; of repeated rows one stays.
+    """
+    node = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    keyed = docs.select("doc_id", node.alias("node"), _view_fingerprints(docs["text"], width, views).alias("fps"))
+    keyed = written(keyed, "keyed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    nodes = written(keyed.groupBy("node").agg(F.min(order).alias("least"), F.first("fps").alias("fps")), "nodes")
+    views_of = written(nodes.select("node", F.posexplode("fps").alias("view", "fp")), "views")
+    fps = written(views_of.groupBy("view", "fp").agg(F.min("node").alias("rep")), "view-fps")
+    found = written(links(fps.select("view", "fp"), max_bits, bucket_limit), "view-links")
+    # A fingerprint stands for its first node; others of the same fingerprint pair with that.
+    ends = found.join(fps.select("view", F.col("fp").alias("a"), F.col("rep").alias("x")), ["view", "a"])
+    ends = ends.join(fps.select("view", F.col("fp").alias("b"), F.col("rep").alias("y")), ["view", "b"])
+    same = views_of.join(fps, ["view", "fp"]).filter("node <> rep").select(F.col("node").alias("x"), F.col("rep").alias("y"))
+    pairs = ends.select("x", "y").unionByName(same)
+    pairs = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    paired = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "paired")
+    texts = docs.select(node.alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(small(paired), "node", "left_semi")
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    roots = components(_verified(pairs, texts, verify_width, similarity))
+    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "rooted")
+    keepers = rooted.groupBy("root").agg(F.min("least").alias("keeper")).select(F.col("keeper.node").alias("node"), F.col("keeper.doc_id").alias("kept"))
+    keepers = written(keepers, "keepers")
+    marked = keyed.select("doc_id", "node").join(keepers.withColumn("__keeps", F.lit(True)), "node", "left")
+    stays = F.col("__keeps").isNotNull() & F.col("doc_id").eqNullSafe(F.col("kept"))
+    ids = marked.groupBy("doc_id", "node").agg(F.max(stays).alias("stays"), F.count("*").alias("rows"))
+    ids = written(ids, "decisions")
+    gone = small(written(ids.filter("not stays").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")), "gone"))
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (node == F.col("__node")), "left_anti")
+    repeated = ids.filter("stays and rows > 1").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"))
+    if not repeated.take(1):
+        return kept
+    repeated = small(repeated)
+    is_one = docs["doc_id"].eqNullSafe(F.col("__id")) & (node == F.col("__node"))
+    once = kept.join(repeated, is_one, "left_semi").withColumn("__node", node)
+    once = once.dropDuplicates(["doc_id", "__node"]).drop("__node")
+    return kept.join(repeated, is_one, "left_anti").unionByName(once)

@@ -84,7 +84,7 @@ def test_links_equal_brute_force(spark, limit, bits):
                 value ^= 1 << rng.randrange(64)
             values.add(value)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    fps = written(spark.createDataFrame([(v,) for v in signed], "fp bigint"), "test")
+    fps = written(spark.createDataFrame([(0, v) for v in signed], "view int, fp bigint"), "test")
     roots = components(simhash.links(fps, bits, limit))
     found = defaultdict(set)
     for node, root in roots.collect():
@@ -104,10 +104,35 @@ def test_near_duplicates_of_awkward_rows(spark):
         if doc is not None:
             least[want[fp]] = min(doc, least.get(want[fp], doc))
     assert len(rows) == len(AWKWARD)
-    assert all(component == least[want[fp]] for _, fp, component in rows)
+    assert all(component == least.get(want[fp]) for _, fp, component in rows)
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_pipeline_stage_keeps_one_of_each_group(spark):
+    rng = random.Random(3)
+    rows, near = [], []
+    for base in range(30):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([3, 60, 200]))]
+        rows.append((base * 10, " ".join(words), "s"))
+        if base % 3 == 0:
+            rows.append((base * 10 + 1, " ".join(words), "s"))
+        if base % 3 == 1 and len(words) > 50:
+            changed = list(words)
+            changed[len(words) // 2] = "changed"
+            rows.append((base * 10 + 2, " ".join(changed), "t"))
+            near.append(base * 10 + 2)
+    rows += [(1000, None, "n"), (1001, "", "n"), (1002, "same", "n"), (1002, "same", "n"), (None, "same", "n")]
+    docs = documents(spark, rows).withColumn("node", F.lit("mine")).withColumn("view", F.lit(1))
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    ids = sorted(r.doc_id for r in kept.collect())
+    want = [i for i, _, _ in rows if i is not None and i < 1000 and i % 10 != 1 and i not in near]
+    assert [i for i in ids if i < 1000 and i not in near] == sorted(want)
+    assert [i for i in ids if i >= 1000] == [1000, 1002]
+    assert len([i for i in near if i in ids]) <= len(near) // 4
+    assert simhash.drop_near_duplicates(documents(spark, [])).count() == 0
+
+
 def water(sizes, weights=(5, 2, 1), budget=1.5, cap=2.0):
     """Targets by repeated resharing of what goes beyond the caps."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
