@@ -2,7 +2,8 @@
 
 Documents are tokenised once. Of each, all full windows leave at once; the rest is an item that
 is placed best-fit into one of ``OPEN_WINDOWS`` open windows of its partition. If none has room,
-the fullest is emitted and a new one is opened. Windows that are still open at a partition's end
+the fullest is emitted and a new one is opened; if more than ``SPARE`` ids are missing there, the
+item is cut and its first part fills the window up. Windows that are still open at a partition's end
 are merged in the same way with those of ``MERGE_PARTS`` neighbouring partitions, as items that
 keep their content together.
 
@@ -35,6 +36,8 @@ WINDOW = 2048
 END_ID = 1
 OPEN_WINDOWS = 64
 MERGE_PARTS = 32
+#: A window may leave with so many ids missing; beyond that an item is cut to fill it.
+SPARE = 64
 #: Pieces are handed on in batches of so many rows.
 ROWS_AT_ONCE = 20_000
 
@@ -82,18 +85,27 @@ class Windows:
         self.open: list[list] = []
         self.made = 0
 
-    def add(self, key, size: int):
-        """Place an item; a window that had to be emitted for it, or None."""
-        best = None
-        for window in self.open:
-            room = self.size - window[2]
-            if room >= size and (best is None or room < self.size - best[2]):
-                best = window
-        emitted = None
+    def _best(self, size: int):
+        """The open window with the least room of those that have room, or None."""
+        able = [w for w in self.open if self.size - w[2] >= size]
+        return max(able, key=lambda w: w[2]) if able else None
+
+    def gap(self, size: int) -> int:
+        """What the fullest window lacks if an item of this size makes it leave, else 0."""
+        if size == self.size or len(self.open) < self.limit or self._best(size) is not None:
+            return 0
+        return self.size - max(w[2] for w in self.open)
+
+    def add(self, key, size: int) -> list[list]:
+        """Place an item; the windows that are emitted for it."""
+        if size == self.size:
+            self.made += 1
+            return [[self.made - 1, [(key, 0)], size]]
+        best, emitted = self._best(size), []
         if best is None:
             if len(self.open) == self.limit:
-                emitted = max(self.open, key=lambda w: w[2])
-                self.open.remove(emitted)
+                emitted = [max(self.open, key=lambda w: w[2])]
+                self.open.remove(emitted[0])
             best = [self.made, [], 0]
             self.made += 1
             self.open.append(best)
@@ -101,8 +113,8 @@ class Windows:
         best[2] += size
         if best[2] == self.size:
             self.open.remove(best)
-            return [w for w in (emitted, best) if w is not None]
-        return [emitted] if emitted is not None else []
+            emitted.append(best)
+        return emitted
 
 
 _PIECES = (
@@ -137,14 +149,17 @@ def _pack_partition(make_encoder, end_id: int, open_windows: int, with_ids: bool
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4", copy=False)
-                total = len(ids)
-                for start in range(0, total, WINDOW):
-                    piece = ids[start : start + WINDOW]
+                total, start = len(ids), 0
+                while start < total:
+                    size = min(WINDOW, total - start)
+                    gap = windows.gap(size)
+                    piece = ids[start : start + (gap if gap > SPARE else size)]
                     row = (doc, start, len(piece), zlib.crc32(piece.tobytes()), total)
                     if with_ids:
                         row = (*row, piece.astype(np.int64))
                     for full in windows.add(row, len(piece)):
                         emit(full, True)
+                    start += len(piece)
                 if len(rows) >= ROWS_AT_ONCE:
                     yield table()
         for window in windows.open:
