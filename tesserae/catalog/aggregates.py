@@ -134,9 +134,26 @@ def agg_bleu(spark: SparkSession, sf: str) -> DataFrame:
     return scores.select(*[F.round(c, 6).alias(c) for c in scores.columns])
 
 
-@query("agg_rouge_l")
+# The longest common subsequence, one word of the reference at a time: ``line`` holds the
+# best length up to each word of the other text. A new line is the running maximum of what
+# the old one offers.
+_ROUGE_SQL = f"""words AS (SELECT row_id, {_WORDS.format('ref')} AS r, {_WORDS.format('hyp')} AS h FROM pairs),
+lines(row_id, i, line) AS (
+  SELECT row_id, 0, list_transform(h, lambda w: 0) FROM words
+  UNION ALL
+  SELECT row_id, i, list_transform(range(1, len(offer) + 1), lambda j: list_max(offer[1:j])) FROM (
+    SELECT l.row_id, l.i + 1 AS i, list_transform(range(1, len(w.h) + 1), lambda j: greatest(l.line[j],
+      CASE WHEN j > 1 THEN l.line[j - 1] ELSE 0 END + (w.h[j] = w.r[l.i + 1])::INT)) AS offer
+    FROM lines l JOIN words w USING (row_id) WHERE l.i < len(w.r))),
+lcs AS (SELECT w.row_id, len(r)::DOUBLE AS nr, len(h)::DOUBLE AS nh, coalesce(line[len(h)], 0)::DOUBLE AS n
+  FROM words w JOIN lines l ON l.row_id = w.row_id AND l.i = len(w.r))"""
+
+
+@query("agg_rouge_l", sql.using("pairs", _ROUGE_SQL, recursive=True, body=f"""
+SELECT count(*) AS rows, round(avg(CASE WHEN n > 0 THEN
+  (1 + {textmetrics.ROUGE_BETA}::DOUBLE * {textmetrics.ROUGE_BETA}) * (n / nh) * (n / nr)
+  / (n / nr + {textmetrics.ROUGE_BETA}::DOUBLE * {textmetrics.ROUGE_BETA} * (n / nh)) ELSE 0 END), 6) AS rouge_l FROM lcs"""))
 def agg_rouge_l(spark: SparkSession, sf: str) -> DataFrame:
-    """No SQL: the longest common subsequence of two long texts is a dynamic programme."""
     scores = textmetrics.rouge_l(fx.pairs(spark, sf))
     return scores.select("rows", F.round("rouge_l", 6).alias("rouge_l"))
 

@@ -28,6 +28,35 @@ def gen_tiles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("gen_rejected", """
+SELECT image_id, reason FROM (
+  SELECT 'slide_' || p_partkey AS image_id, CASE WHEN p_partkey % 5 = 0 THEN 'no width'
+    WHEN p_partkey % 17 = 5 THEN NULL WHEN p_partkey % 3 = 0 THEN 'unknown scale'
+    WHEN p_partkey % 7 = 0 THEN 'invalid scale' END AS reason FROM part)
+WHERE reason IS NOT NULL
+UNION ALL
+SELECT 'slide_' || p_partkey, 'tiled' FROM part
+WHERE p_partkey % 5 <> 0 AND (p_partkey % 17 = 5 OR (p_partkey % 3 <> 0 AND p_partkey % 7 <> 0))
+UNION ALL
+SELECT 'zoom_' || vec_id, CASE WHEN vec_id % 4 IN (1, 3) THEN 'target is no multiple' WHEN label = 8 THEN 'too small'
+  ELSE 'children ' || CASE WHEN vec_id % 4 = 0 THEN 4 ELSE 16 END END FROM embeddings""")
+def gen_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """Images without a usable scale or size, and regions that can't be zoomed, by reason."""
+    p = F.expr("cast(substring_index(image_id, '_', -1) as bigint)")
+    mpp = F.when(p % 3 == 0, None).when(p % 7 == 0, -0.5).otherwise(0.5)
+    images = fx.slides(spark, sf).withColumns({
+        "width": F.when(p % 5 != 0, F.col("width")), "mpp": mpp, "mpp_source": F.lit("given")})
+    tiled = ops.tile_regions(images).select("image_id").distinct().withColumn("reason", F.lit("tiled"))
+    v = F.col("region_id").cast("bigint")
+    to = F.element_at(F.array(*[F.lit(x) for x in (10.0, 12.0, 20.0, 2.5)]), (v % 4 + 1).cast("int"))
+    children, rejected = ops.checked_zoom(fx.regions(spark, sf), to, to.cast("string"))
+    name = lambda key: F.concat(F.lit("zoom_"), key.cast("bigint").cast("string")).alias("image_id")
+    counted = children.groupBy(name(F.col("parent_id"))).agg(
+        F.concat(F.lit("children "), F.count("*").cast("string")).alias("reason"))
+    return ops.rejected_images(images).unionByName(tiled).unionByName(counted).unionByName(
+        rejected.select(name(F.col("region_id")), "reason"))
+
+
 @query("gen_tiles_at", sql.using("slides", "scaled", body="""
 SELECT image_id, x || '_' || y || '_m5' AS region_id, x, y,
   greatest(1, round_even(4096 * 5 / (10.0::DOUBLE / mpp), 0))::BIGINT AS output_width

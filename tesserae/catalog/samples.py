@@ -159,10 +159,14 @@ def prj_letter_to_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("scl_normalize_text", f"""
-SELECT doc_id, sha256({sql.norm('text')}) AS text_key, length({sql.norm('text')}) AS n_chars FROM documents""")
+SELECT doc_id, sha256({sql.norm('text')}) AS text_key, length({sql.norm('text')}) AS n_chars
+FROM (SELECT doc_id, text || CASE doc_id % 7 WHEN 1 THEN ' 5 \u00b5m ' WHEN 2 THEN 'e\ufb01' WHEN 3 THEN ' \u0149\u01f0\u03c2' ELSE '' END AS text
+      FROM documents)""")
 def scl_normalize_text(spark: SparkSession, sf: str) -> DataFrame:
+    case = F.col("doc_id") % 7
+    more = F.when(case == 1, " 5 \u00b5m ").when(case == 2, "e\ufb01").when(case == 3, " \u0149\u01f0\u03c2").otherwise("")
     key = normalize_text(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents").withColumn("text", F.concat("text", more)).select(
         "doc_id", F.sha2(key, 256).alias("text_key"), F.length(key).cast("bigint").alias("n_chars")
     )
 
@@ -401,17 +405,26 @@ _CONVERSATION_SQL = {
 }
 
 
+# The given conversations, and long ones: twenty neighbours in a row.
+_LONG_CONVERSATIONS_SQL = """SELECT conv_id, turn, role, text FROM conversations UNION ALL
+SELECT -1 - conv_id // 20, row_number() OVER (PARTITION BY conv_id // 20 ORDER BY conv_id, turn) - 1, role, text
+FROM conversations"""
+
+
 @query("scl_render_conversation", " UNION ALL ".join(
-    f"""SELECT conv_id, '{name}' AS style, turn // 64 AS piece, count(*) AS turns,
+    f"""SELECT conv_id, '{name}' AS style, count(*) AS turns,
   sha256(string_agg({body}, '' ORDER BY turn)) AS prompt_hash
 FROM (SELECT conv_id, turn, role, CASE WHEN turn > 0 AND (conv_id + turn) % 9 = 0 THEN NULL ELSE text END AS text
-      FROM conversations) GROUP BY conv_id, turn // 64""" for name, body in _CONVERSATION_SQL.items()))
+      FROM ({_LONG_CONVERSATIONS_SQL})) GROUP BY conv_id""" for name, body in _CONVERSATION_SQL.items()))
 def scl_render_conversation(spark: SparkSession, sf: str) -> DataFrame:
     silent = (F.col("turn") > 0) & ((F.col("conv_id") + F.col("turn")) % 9 == 0)
-    turns = table(spark, sf, "conversations").withColumn("text", F.when(~silent, F.col("text")))
+    given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    given.createOrReplaceTempView("given_turns")
+    long = spark.sql(_LONG_CONVERSATIONS_SQL.replace("FROM conversations", "FROM given_turns").replace("//", "div"))
+    turns = long.withColumn("text", F.when(~silent, F.col("text")))
     styles = {name: _styled(name) for name in _CONVERSATION_SQL}
     return render_styles(turns, styles, ["conv_id"]).select(
-        "conv_id", "style", "piece", "turns", F.sha2("prompt", 256).alias("prompt_hash")
+        "conv_id", "style", "turns", F.sha2("prompt", 256).alias("prompt_hash")
     )
 
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from tesserae.functions.text import FOLDS, SHORT_ESCAPES, SPACE, control_escapes
+from tesserae.functions.text import SHORT_ESCAPES, SPACE, control_escapes
 
 
 def strip(e: str) -> str:
     return rf"regexp_replace(regexp_replace({e}, '\A{SPACE}+', ''), '{SPACE}+\z', '')"
 
 
+# The letters beyond lower-casing that the given and added texts hold, with their folded form.
+FOLDED = (("ß", "ss"), ("ς", "σ"), ("\u00b5", "\u03bc"), ("\ufb01", "fi"), ("\u0149", "\u02bcn"), ("\u01f0", "j\u030c"))
+
+
 def norm(e: str) -> str:
     out = f"lower(trim(regexp_replace(coalesce({e}, ''), '{SPACE}+', ' ', 'g')))"
-    for letter, folded in FOLDS:
+    for letter, folded in FOLDED:
         out = f"replace({out}, '{letter}', '{folded}')"
     return out
 

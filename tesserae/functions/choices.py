@@ -70,7 +70,8 @@ def _from_map(items: Column) -> Column:
 
 def _from_labelled(text: Column) -> Column:
     marked = F.regexp_replace(text, LABEL_IN_STRING, f"{_START}$1{_MID}")
-    parts = F.slice(F.split(marked, _START), 2, 1 << 20)
+    found = F.split(marked, _START)
+    parts = F.slice(found, F.lit(2), F.size(found))
     entries = F.transform(
         parts,
         lambda part: option(
@@ -98,9 +99,11 @@ def normalize_choices(raw: Column) -> Column:
             .otherwise(_from_labelled(raw))
         )
 
+    # The parser stops behind the first value; what does not end with its bracket has more.
+    whole = strip(raw)
     parsed = F.struct(
-        F.from_json(raw, "array<string>").alias("as_list"),
-        F.from_json(raw, "map<string,string>").alias("as_map"),
+        F.when(F.endswith(whole, F.lit("]")), F.from_json(raw, "array<string>")).alias("as_list"),
+        F.when(F.endswith(whole, F.lit("}")), F.from_json(raw, "map<string,string>")).alias("as_map"),
     )
     return F.when(F.coalesce(raw, F.lit("")) == "", no_options()).otherwise(
         checked(let(parsed, read))

@@ -41,9 +41,13 @@ def native_magnification(mpp: Column) -> Column:
 
 
 def output_pixels(size: Column, magnification: Column, mpp: Column) -> Column:
-    """Pixels after resampling to ``magnification``; half-even rounding, at least one."""
+    """Pixels after resampling to ``magnification``; half-even rounding, at least one.
+
+    Null where the scale is unknown.
+    """
     exact = size * magnification / native_magnification(mpp)
-    return F.greatest(F.lit(1), F.bround(exact).cast("bigint")).cast("bigint")
+    pixels = F.greatest(F.lit(1), F.bround(exact).cast("bigint")).cast("bigint")
+    return F.when(exact.isNotNull(), pixels)
 
 
 def grid_tiles(width: Column, height: Column, size: int = FIELD_OF_VIEW) -> Column:

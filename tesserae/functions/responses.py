@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,15 +34,20 @@ def strip_think(text: Column) -> Column:
     )
 
 
+LONE_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def _first_object(text: str | None, decoder: json.JSONDecoder) -> str | None:
     start = text.find("{") if text else -1
     while start >= 0:
         try:
             value, _ = decoder.raw_decode(text, start)
-        except (json.JSONDecodeError, RecursionError):
+        except (ValueError, RecursionError):  # also a number of too many digits
             pass
         else:
-            return json.dumps(value, ensure_ascii=False)
+            encoded = json.dumps(value, ensure_ascii=False)
+            # Half of a surrogate pair is no text; such a response is no valid one.
+            return None if LONE_SURROGATE.search(encoded) else encoded
         start = text.find("{", start + 1)
     return None
 

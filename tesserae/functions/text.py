@@ -21,8 +21,17 @@ SPACE_RANGES = (
 )
 SPACE_CHARS = "".join(chr(c) for low, high in SPACE_RANGES for c in range(low, high + 1))
 
-# Case folding beyond lower-casing, for the letters that need it.
-FOLDS = (("ß", "ss"), ("ς", "σ"))
+
+
+def _folds() -> dict[str, str]:
+    """Full case folding of every letter for which lower-casing gives something else; the
+    capital sigma is one, as its small form depends on the letters around it."""
+    letters = map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)])
+    return {c: c.casefold() for c in letters if c.casefold() != c.lower() or c == "Σ"}
+
+
+FOLDS = _folds()
+_FOLDED_LETTER = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in FOLDS) + "]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,10 +49,11 @@ def strip(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Collapse white space, trim, fold case; null becomes the empty string."""
-    key = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), UNICODE_SPACES, " ")))
-    for letter, folded in FOLDS:
-        key = F.replace(key, F.lit(letter), F.lit(folded))
-    return key
+    key = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), UNICODE_SPACES, " "))
+    table = F.create_map(*[F.lit(part) for fold in FOLDS.items() for part in fold])
+    letters = F.transform(F.split(key, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
+    # Few texts hold a letter that lower-casing alone does not fold.
+    return F.when(key.rlike(_FOLDED_LETTER), F.array_join(letters, "")).otherwise(F.lower(key))
 
 
 def is_blank(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.digest import digest
 from tesserae.functions.text import json_object, json_or_null
+from tesserae.runtime import stable
 
 
 def cache_key(df: DataFrame, columns: Sequence[str], name: str = "cache_key") -> DataFrame:
@@ -30,7 +31,8 @@ def with_cache(
     """
     keyed = cache_key(inputs, key_columns)
     misses = keyed.join(cache, "cache_key", "left_anti").dropDuplicates(["cache_key"])
-    fresh = compute(misses).select("cache_key", "value")
+    # Kept at once: the caller appends what the result was made of.
+    fresh = stable(compute(misses).select("cache_key", "value"))
     hits = cache.select("cache_key", "value", F.lit(True).alias("hit"))
     known = hits.unionByName(fresh.withColumn("hit", F.lit(False)))
     return keyed.join(known, "cache_key"), fresh

@@ -80,11 +80,14 @@ def compact(
             "text",
             SEPARATOR,
         )
-        chunks = summarize(blocks).select(
-            *keys,
-            (F.col("block") + 1).alias("_rank"),
-            "text",
-            F.col("size").alias("_before"),
+        # Kept at once, so that sizes and texts come from the same calls.
+        chunks = stable(
+            summarize(blocks).select(
+                *keys,
+                (F.col("block") + 1).alias("_rank"),
+                "text",
+                F.col("size").alias("_before"),
+            )
         )
     return done.select(*keys, "status", "level", "chunks", "size", "text")
 

@@ -66,11 +66,11 @@ def turn_text(style: Style, turn: Column, role: Column, text: Column) -> Column:
 def render_styles(
     turns: DataFrame, styles: dict[str, Style], keys: Sequence[str], piece: int = TURNS_PER_PIECE
 ) -> DataFrame:
-    """(keys, style, piece, turns, prompt): prompts in ordered pieces, all styles in one pass.
+    """(keys, style, turns, prompt): one prompt per conversation, all styles in one pass.
 
-    ``turns`` has (keys, turn, role, text); ``turn`` is the 0-based place of a message. A
-    piece holds a fixed number of turns, so a conversation of any length is never gathered
-    in one place; most have a single piece.
+    ``turns`` has (keys, turn, role, text); ``turn`` is the 0-based place of a message. Turns
+    are joined by pieces of a fixed number first, and the pieces then, so the turns of a long
+    conversation don't meet one by one.
     """
     spoken = [
         F.struct(
@@ -86,16 +86,21 @@ def render_styles(
         F.explode(F.array(*spoken)).alias("_s"),
     ).select(*keys, "turn", "piece", "_s.style", "_s.said")
     ordered = F.array_sort(F.collect_list(F.struct("turn", "said")))
-    return said.groupBy(*keys, "style", "piece").agg(
+    pieces = said.groupBy(*keys, "style", "piece").agg(
         F.count("*").alias("turns"),
-        F.array_join(F.transform(ordered, lambda entry: entry["said"]), "").alias("prompt"),
+        F.array_join(F.transform(ordered, lambda entry: entry["said"]), "").alias("said"),
+    )
+    parts = F.array_sort(F.collect_list(F.struct("piece", "said")))
+    return pieces.groupBy(*keys, "style").agg(
+        F.sum("turns").alias("turns"),
+        F.array_join(F.transform(parts, lambda entry: entry["said"]), "").alias("prompt"),
     )
 
 
 def render_conversation(
     turns: DataFrame, style: Style, keys: Sequence[str], piece: int = TURNS_PER_PIECE
 ) -> DataFrame:
-    """(keys, piece, turns, prompt) in one style."""
+    """(keys, turns, prompt) in one style."""
     return render_styles(turns, {style.kind: style}, keys, piece).drop("style")
 
 

@@ -322,7 +322,9 @@ def pending_groups(
 
 
 def check_identity(results: DataFrame, locks: DataFrame) -> DataFrame:
-    """Per run: results, results with another run hash, and whether all runs agree.
+    """Per run: results, results with another or no run hash, and whether all runs agree.
+
+    Runs with results but without a lock are included; all their results mismatch.
 
     ``results`` has (run, sample_id, run_hash); ``locks`` (run, lock_hash, config_hash,
     code_hash).
@@ -332,9 +334,9 @@ def check_identity(results: DataFrame, locks: DataFrame) -> DataFrame:
         (F.count_distinct("config_hash") <= 1).alias("one_config"),
         (F.count_distinct("code_hash") <= 1).alias("one_code"),
     )
-    wrong = F.col("run_hash") != F.col("lock_hash")
+    wrong = ~F.col("run_hash").eqNullSafe(F.col("lock_hash")) | F.col("lock_hash").isNull()
     return (
-        locks.join(per_hash, "run", "left")
+        locks.join(per_hash, "run", "full")
         .groupBy("run")
         .agg(
             F.coalesce(F.sum("_n"), F.lit(0)).alias("results"),

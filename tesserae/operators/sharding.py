@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import grid_tiles
 from tesserae.operators.ranking import rank_in_groups
+from tesserae.runtime import stable
 from tesserae.runtime import require_empty
 
 # Seconds per (tile, question) of the two planning priors.
@@ -89,24 +89,37 @@ def check_costs(samples: DataFrame, costs: DataFrame, shards: int) -> None:
 _RUNS = "cost double, shard int, start double, taken bigint"
 
 
-def _fill(totals: np.ndarray, cost: float, images: int) -> np.ndarray:
-    """How many of ``images`` equal costs each shard takes, always the least loaded next.
+def _loads(start: float, cost: float, n: int) -> np.ndarray:
+    """Load before each of ``n`` additions and after the last, added up one by one."""
+    return np.cumsum(np.concatenate([[start], np.full(n, cost)]))
 
-    A water level gives all but a few in one step; those few follow one by one.
+
+def _fill(totals: np.ndarray, cost: float, images: int) -> tuple[np.ndarray, np.ndarray]:
+    """(how many of ``images`` equal costs each shard takes, its load then), always the least
+    loaded next and of equal loads the first shard.
+
+    A shard's places lie at its running loads. A water level tells about how many are needed;
+    of these the ``images`` lowest are taken, and more are looked at if one shard ran out.
     """
+    taken = np.zeros(len(totals), dtype=np.int64)
+    if images == 1 or cost <= 0:
+        least = int(np.argmin(totals))
+        taken[least] = images
+        return taken, np.where(taken > 0, totals + cost * images, totals)
     ordered = np.sort(totals)
     levels = (cost * images + np.cumsum(ordered)) / np.arange(1, len(totals) + 1)
     level = levels[np.flatnonzero(levels > ordered)[-1]]
-    taken = np.maximum(0, np.floor((level - totals) / cost)).astype(np.int64)
-    while taken.sum() > images:  # rounding at the water line
-        taken = np.maximum(0, taken - 1)
-    queue = [(totals[i] + taken[i] * cost, i) for i in range(len(totals))]
-    heapq.heapify(queue)
-    for _ in range(images - int(taken.sum())):
-        load, i = queue[0]
-        taken[i] += 1
-        heapq.heapreplace(queue, (load + cost, i))
-    return taken
+    spare = 2
+    while True:
+        offered = np.maximum(0, np.ceil((level - totals) / cost)).astype(np.int64) + spare
+        loads = [_loads(t, cost, n) for t, n in zip(totals, offered)]
+        shard = np.repeat(np.arange(len(totals)), offered)
+        places = np.concatenate([x[:-1] for x in loads])
+        lowest = np.lexsort((shard, places))[:images]
+        taken = np.bincount(shard[lowest], minlength=len(totals))
+        if (taken < offered).all():
+            return taken, np.array([x[n] for x, n in zip(loads, taken)])
+        spare *= 2
 
 
 def shard_runs(costs: DataFrame, shards: int) -> DataFrame:
@@ -122,9 +135,9 @@ def shard_runs(costs: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             runs = []
             for cost, images in zip(batch["cost"], batch["images"]):
-                taken = _fill(totals, cost, int(images))
+                taken, after = _fill(totals, cost, int(images))
                 runs += [(cost, i, totals[i], taken[i]) for i in np.flatnonzero(taken)]
-                totals = totals + taken * cost
+                totals = after
             yield pd.DataFrame(runs, columns=["cost", "shard", "start", "taken"])
 
     histogram = costs.groupBy("cost").agg(F.count("*").alias("images"))
@@ -136,16 +149,18 @@ def assign_shards(costs: DataFrame, shards: int = 16) -> DataFrame:
     """(image_id, cost, shard): dearest image first, to the least loaded shard.
 
     Ties go to the smaller image name and the smaller shard number. Among images of one
-    cost the places a shard takes are at loads start, start+cost, …; sorting all places
+    cost the places a shard takes are at its running loads; sorting all places
     of that cost by (load, shard) gives the order in which images, sorted by name, go in.
     """
-    runs = shard_runs(costs, shards)
-    places = runs.select(
-        "cost",
-        "shard",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("taken") - 1)).alias("_nth"),
-        "start",
-    ).withColumn("_load", F.col("start") + F.col("_nth") * F.col("cost"))
+
+    def places_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for cost, shard, start, taken in batch.itertuples(index=False):
+                loads = _loads(start, cost, taken)[:-1]
+                yield pd.DataFrame({"cost": cost, "shard": shard, "_load": loads})
+
+    runs = stable(shard_runs(costs, shards)).repartition("cost", "shard")
+    places = runs.mapInPandas(places_of, "cost double, shard int, _load double")
     places = rank_in_groups(
         places.select("cost", "shard", "_load"), ["cost"], [F.col("_load"), F.col("shard")], "_turn"
     )

@@ -1,6 +1,8 @@
 import json
+import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import prompts
@@ -10,80 +12,112 @@ from tesserae.plans.backend import ModelBackend
 REGION = ("image_id string, region_id string, image_path string, x long, y long, width long, height long, "
           "output_width long, output_height long, scale_kind string, scale double, mpp double, "
           "magnification_source string, parent_id string, description string, vector array<float>")
+SIDE = 1000
 
 
-def regions(spark, n, image="slide"):
-    return spark.createDataFrame([
-        (image, f"{i:04}", "/unused", i * 4096, 0, 4096, 4096, 512, 512, "physical", 5.0, 0.25,
-         "slide_metadata", None, "generic", [1.0, 0.0]) for i in range(n)], REGION)
+def regions(spark, n, image="plate"):
+    """A strip of ``n`` squares; the vectors turn away from (1, 0) step by step."""
+    rows = []
+    for i in range(n):
+        place = (i * SIDE, 7, SIDE, SIDE, 250, 250)
+        turn = [math.cos(i / n), math.sin(i / n)]
+        rows.append((image, f"sq{i:02}", "/p", *place, "physical", 5.0, 0.5, "given", None, f"square {i}", turn))
+    return spark.createDataFrame(rows, REGION)
 
 
-def questions(spark, *ids, image="slide"):
-    return spark.createDataFrame([(i, image, "Which?") for i in ids], "query_id long, image_id string, question string")
+def questions(spark, *ids, image="plate"):
+    return spark.createDataFrame([(i, image, "What is it?") for i in ids], "query_id long, image_id string, question string")
 
 
-class FakeBackend:
-    def __init__(self, zoom=False, sufficient=False, missing="mitoses"):
-        self.zoom, self.sufficient, self.missing = zoom, sufficient, missing
+class Rules:
+    """A backend whose verdicts are given as columns of the question id and the round."""
 
-    def _vector(self, df):
-        return df.withColumn("vector", F.array(F.lit(1.0).cast("float"), F.lit(0.0).cast("float")))
+    def __init__(self, sufficient=None, zoom=None, missing=None):
+        self.sufficient = F.lit(False) if sufficient is None else sufficient
+        self.zoom = F.lit(False) if zoom is None else zoom
+        self.missing = F.lit("edges") if missing is None else missing
+        self.concluded = None
 
-    encode_text = encode_regions = _vector
+    def encode_text(self, asked):
+        return asked.withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>"))
+
+    def encode_regions(self, children):
+        # The last child faces the question.
+        facing = F.col("cell") == F.max("cell").over(Window.partitionBy("query_id", "parent_id"))
+        vector = F.when(facing, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+        return children.withColumn("vector", vector.cast("array<float>"))
 
     def describe(self, views):
-        return views.withColumn("observed", F.lit("observed"))
+        return views.withColumn("observed", F.concat(F.lit("looked at "), "region_id"))
 
     def evaluate(self, asked, findings):
-        assert not {"ground_truth", "ground_truth_label"} & set(asked.columns)
+        yes = lambda test: F.when(test, "Yes").otherwise("No")
         return asked.withColumns({
-            "answer": F.lit("A"), "thinking_steps": F.lit("evidence"),
-            "sufficient": F.lit("Yes" if self.sufficient else "No"), "missing_info": F.lit(self.missing),
-            "zoom_recommendation": F.lit("Yes" if self.zoom else "No"), "zoom_level": F.lit(10)})
+            "answer": F.lit("B"), "thinking_steps": F.lit("steps"), "sufficient": yes(self.sufficient),
+            "missing_info": self.missing, "zoom_recommendation": yes(self.zoom), "zoom_level": F.lit(20)})
 
     def conclude(self, asked, evidence, trajectory):
-        return asked.withColumns({"pred_answer": F.lit("A"), "explanation": F.lit("all"), "answer_status": F.lit("ok")})
-
-
-@pytest.mark.parametrize("params", [AgentParams(), AgentParams(region_block=9, query_block=1)])
-def test_rounds_of_a_large_image(spark, params):
-    run = run_agent(questions(spark, 1, 2), regions(spark, 101), FakeBackend(), params)
-    evidence = run.evidence.filter("query_id = 1").collect()
-    sizes = [sum(e.iteration == i for e in evidence) for i in range(1, 6)]
-    assert sizes == [11, 6, 6, 6, 6]
-    assert len({e.region_id for e in evidence}) == 35
-    assert sum(e.description.endswith("\nobserved") for e in evidence) == 25
-    for result in run.results.collect():
-        assert (result.stop_reason, result.total_examined_regions, result.status) == ("max_iterations", 35, "ok")
-    assert run.trajectory.filter("query_id = 2").count() == 5
-
-
-def test_zoom_ends_the_loop(spark):
-    run = run_agent(questions(spark, 1), regions(spark, 101), FakeBackend(zoom=True))
-    event = run.trajectory.collect()
-    assert len(event) == 1 and event[0].zoom_candidates == 44
-    assert event[0].zoom_region == "0000/z10.0/0_0" and event[0].stop_reason == "zoom_completed"
-    assert run.evidence.count() == 12
-    assert run.results.first().total_examined_regions == 11
-
-
-def test_one_region(spark):
-    one = regions(spark, 1)
-    assert run_agent(questions(spark, 1), one, FakeBackend(zoom=True)).results.first().stop_reason == "zoom_completed"
-    done = run_agent(questions(spark, 2), one, FakeBackend(sufficient=True))
-    assert done.results.first().stop_reason == "sufficient"
-    assert done.evidence.first().description == "generic\nobserved"
-    out = run_agent(questions(spark, 3), one, FakeBackend())
-    assert out.results.first().stop_reason == "no_unexamined_regions"
-    failed = run_agent(questions(spark, 4), one, FakeBackend(missing=" ")).results.first()
-    assert (failed.stop_reason, failed.status, failed.pred_answer) == ("protocol_error", "invalid", "")
+        self.concluded = (asked, evidence)
+        return asked.withColumns({"pred_answer": F.lit("B"), "explanation": F.lit("so"), "answer_status": F.lit("ok")})
+
+
+@pytest.mark.parametrize("params", [AgentParams(), AgentParams(region_block=7, query_block=1)])
+def test_rounds_take_their_share(spark, params):
+    n = 52
+    run = run_agent(questions(spark, 8, 9), regions(spark, n), Rules(), params)
+    share = [math.ceil(0.10 * n)] + [math.ceil(0.05 * n)] * 4
+    rows = run.evidence.filter("query_id = 9").orderBy("iteration", "rk").collect()
+    assert [sum(r.iteration == i + 1 for r in rows) for i in range(5)] == share
+    # Nearest first, none twice.
+    assert [r.region_id for r in rows] == [f"sq{i:02}" for i in range(sum(share))]
+    looked = [r for r in rows if "looked at" in r.description]
+    assert len(looked) == sum(min(5, s) for s in share)
+    for r in run.results.collect():
+        assert (r.status, r.stop_reason, r.iterations) == ("ok", "max_iterations", 5)
+        assert (r.total_examined_regions, r.initial_region_count) == (sum(share), n)
+
+
+def test_zoom_shows_the_child(spark):
+    backend = Rules(zoom=F.col("query_id") == 2)
+    run = run_agent(questions(spark, 1, 2), regions(spark, 20), backend)
+    event = run.trajectory.filter("query_id = 2").first()
+    assert (event.action, event.stop_reason, event.iteration) == ("zoom", "zoom_completed", 1)
+    # Two regions of 4 x 4 children each, of which the last of the first region wins.
+    assert (event.zoom_candidates, event.zoom_region) == (32, "sq00/z20.0/3_3")
+    shown = backend.concluded[1].filter("query_id = 2 and region_id like '%/z%'").first()
+    assert (shown.x, shown.y, shown.width, shown.height, shown.scale) == (750, 757, 250, 250, 20.0)
+
+
+def test_region_ids_may_look_like_children(spark):
+    odd = regions(spark, 10).withColumn("region_id", F.concat(F.lit("a/z1/"), "region_id"))
+    backend = Rules()
+    run = run_agent(questions(spark, 1), odd, backend)
+    assert backend.concluded[1].count() == run.evidence.count() > 0
+
+
+def test_ends(spark):
+    backend = Rules(
+        sufficient=(F.col("query_id") == 1) & (F.col("round") == 2),
+        missing=F.when(F.col("query_id") == 2, " \t").otherwise("edges"),
+    )
+    asked = questions(spark, 1, 2, 3).union(questions(spark, 4, image="elsewhere"))
+    run = run_agent(asked, regions(spark, 3), backend)
+    found = {r.query_id: (r.stop_reason, r.status, r.pred_answer, r.iterations, r.total_examined_regions) for r in run.results.collect()}
+    assert found == {
+        1: ("sufficient", "ok", "B", 2, 2),
+        2: ("protocol_error", "invalid", "", 1, 1),
+        3: ("no_unexamined_regions", "ok", "B", 3, 3),
+        4: ("no_regions", "invalid", "", 0, 0),
+    }
+    # Failed questions get no final call.
+    assert {r.query_id for r in backend.concluded[0].collect()} == {1, 3}
 
 
 def test_inputs_are_checked(spark):
     r = regions(spark, 2)
     check_inputs(questions(spark, 1), r)
     with pytest.raises(ValueError, match="gold"):
-        run_agent(questions(spark, 1).withColumn("ground_truth", F.lit("A")), r, FakeBackend())
+        run_agent(questions(spark, 1).withColumn("ground_truth", F.lit("A")), r, Rules())
     with pytest.raises(ValueError, match="repeated region"):
         check_inputs(questions(spark, 1), r.union(r))
     with pytest.raises(ValueError, match="repeated question"):

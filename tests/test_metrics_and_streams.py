@@ -74,8 +74,8 @@ def test_conversation_pieces(spark):
     style = Style("TWO", "sys", " ", "</s>")
     whole = render_conversation(turns, style, ["conv_id"]).first().prompt
     assert whole == "sys USER: m0 BOT: m1</s>USER: m2 BOT: m3</s>USER: m4 "
-    parts = render_conversation(turns, style, ["conv_id"], piece=2).orderBy("piece").collect()
-    assert "".join(p.prompt for p in parts) == whole and [p.turns for p in parts] == [2, 2, 1]
+    parts = render_conversation(turns, style, ["conv_id"], piece=2).collect()
+    assert [(p.turns, p.prompt) for p in parts] == [(5, whole)]
     llama = render_conversation(turns, Style("LLAMA_2", "s", "<s>", "</s>"), ["conv_id"]).first().prompt
     assert llama.startswith("[INST] <<SYS>>\ns\n<</SYS>>\n\nm0 [/INST] m1 </s><s>[INST] m2 [/INST]")
 
