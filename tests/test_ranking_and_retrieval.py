@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.operators import retrieval
 from tesserae.operators.ranking import chunk_rows, join_blocks, rank_in_groups, split_contiguous
 from tesserae.operators.retrieval import retrieve, unit_rows
 
@@ -110,3 +111,21 @@ def test_unusable_vectors_are_refused(spark, bad):
     good, rejected = unit_rows(r, "vector", 2)
     assert [x.region_id for x in good.collect()] == ["b"]
     assert [x.region_id for x in rejected.collect()] == ["a"]
+
+
+def test_few_more_than_k_rows_leave_the_blocks(spark):
+    rng = random.Random(12)
+    q = spark.createDataFrame(
+        [(i, "im", [rng.gauss(0, 1) for _ in range(6)], 40) for i in range(5)],
+        "query_id long, image_id string, vector array<float>, k long",
+    ).withColumn("floor", F.lit(0).cast("bigint"))
+    r = spark.createDataFrame(
+        [("im", f"r{i:03}", [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)],
+        "image_id string, region_id string, vector array<float>",
+    )
+    blocks = retrieval.image_blocks(q, retrieval.region_counts(r), 40, 2)
+    floors = retrieval._floors(q, r, None, blocks)
+    above = q.drop("floor").join(floors, "query_id")
+    kept = retrieval._in_blocks(above, r, None, blocks, retrieval._score_block, retrieval._CANDIDATES)
+    sizes = [row["count"] for row in kept.groupBy("query_id").count().collect()]
+    assert len(sizes) == 5 and all(40 <= n <= 48 for n in sizes)
