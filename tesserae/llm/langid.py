@@ -14,7 +14,7 @@ Documents of fewer than ``SHORT`` letters and borders are too short to be reject
 The models are fitted on a sample of labelled rows of bounded expected size: ``SAMPLE_ROWS``
 per language, chosen by hash. Counts of a language are kept in full.
 
-Null text or text without a letter: ``und``, score 0, rejected. Without any training row all
+Null text or text without a letter (of a Unicode letter category): ``und``, score 0, rejected. Without any training row all
 documents are ``und``. Ties of cross-entropy go to the language first in code point order.
 Repeated rows score alike. Columns of the input other than the text are never read for a
 prediction and are carried along.
@@ -49,7 +49,12 @@ BORDER = 32
 
 
 def letter_runs(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    found = LETTERS.findall(text.lower()) if text else []
+    if text is None or text.isascii():
+        return found
+    # The pattern also takes numbers such as ½ for letters.
+    kept = (w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in found)
+    return [w for w in kept if w]
 
 
 def symbols_of(found: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,8 @@ def corpus(spark, n=240, extra=()):
 ODD = [
     (1000, None, None, None, None),
     (1001, "", "aa", "s", 0),
-    (1002, "123 !!! \n", None, "s", 0),
+    (1002, "123 !!! ½² \n", None, "s", 0),
+    (1005, "½x²", None, "s", 0),
     (1003, "kalo mitu", None, "s", 0),
     (1003, "kalo mitu", None, "s", 0),
     (None, "verung enschen", None, "s", 0),
