@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters that count as white space in text keys. The engines'
 # own ``\s`` covers only ASCII, so the Unicode members are listed.
@@ -90,6 +91,35 @@ def json_or_null(text: Column) -> Column:
     return F.coalesce(json_string(text), F.lit("null"))
 
 
+def json_value(value: Column, kind: T.DataType) -> Column:
+    """Canonical JSON of a value of any type: strings are quoted, containers keep their form,
+    map entries are sorted by key. A number that JSON has no form for is an error."""
+    if isinstance(kind, T.StringType):
+        return json_or_null(value)
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(value, lambda item: json_value(item, kind.elementType))
+        found = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        entries = F.transform(
+            F.map_entries(value),
+            lambda entry: F.concat(
+                json_string(entry.key.cast("string")), F.lit(": "), json_value(entry.value, kind.valueType)
+            ),
+        )
+        found = F.concat(F.lit("{"), F.array_join(F.array_sort(entries), ", "), F.lit("}"))
+    elif isinstance(kind, T.StructType):
+        fields = {f.name: json_value(value.getField(f.name), f.dataType) for f in kind.fields}
+        found = F.when(value.isNotNull(), json_object(**fields))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        odd = F.isnan(value) | (F.abs(value) == float("inf"))
+        found = F.when(odd, F.raise_error(F.lit("a number without a form in JSON"))).otherwise(value.cast("string"))
+    elif isinstance(kind, (T.NumericType, T.BooleanType, T.NullType)):
+        found = value.cast("string")
+    else:
+        found = json_string(value.cast("string"))
+    return F.coalesce(found, F.lit("null"))
+
+
 def json_list(*items: Column) -> Column:
     """Items already encoded as JSON, joined with the canonical ``", "``."""
     return F.concat(F.lit("["), F.concat_ws(", ", *items), F.lit("]"))

@@ -6,15 +6,24 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.functions.digest import digest
-from tesserae.functions.text import json_object, json_or_null
+from tesserae.functions.text import json_object, json_or_null, json_value
 from tesserae.runtime import stable
 
 
 def cache_key(df: DataFrame, columns: Sequence[str], name: str = "cache_key") -> DataFrame:
-    """Add the digest of the canonical JSON object over ``columns``."""
-    fields = {column: json_or_null(F.col(column).cast("string")) for column in columns}
+    """Add the digest of the canonical JSON object over ``columns``.
+
+    Plain values enter as their text, containers with their form.
+    """
+    fields = {}
+    for column in columns:
+        kind = df.schema[column].dataType
+        nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
+        plain = json_or_null(F.col(column).cast("string"))
+        fields[column] = json_value(F.col(column), kind) if nested else plain
     return df.withColumn(name, digest(json_object(**fields)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import json_object, json_or_null, json_string
+from tesserae.functions.text import json_object, json_string, json_value
 from tesserae.operators.sets import find_duplicates
 from tesserae.runtime import require_empty
 
@@ -29,10 +29,8 @@ def sample_json(df: DataFrame) -> Column:
             fields[field.name] = F.coalesce(
                 F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")), F.lit("null")
             )
-        elif kind == "string":
-            fields[field.name] = json_or_null(column)
         else:
-            fields[field.name] = F.coalesce(column.cast("string"), F.lit("null"))
+            fields[field.name] = json_value(column, field.dataType)
     return json_object(**fields)
 
 
@@ -64,10 +62,13 @@ def manifest_digest(df: DataFrame, id_column: str = "sample_id") -> DataFrame:
 
 
 def write_manifest(df: DataFrame, path: str, **metadata: str) -> None:
-    """Write samples and a one-row header with their digest; ids must be unique."""
-    require_empty(find_duplicates(df, ["sample_id"]), "repeated sample id")
+    """Write samples and a one-row header with their digest; ids must be unique.
+
+    The input is evaluated once, for the write; without a header the samples are no manifest.
+    """
     df.write.mode("errorifexists").parquet(f"{path}/samples")
     written = df.sparkSession.read.parquet(f"{path}/samples")
+    require_empty(find_duplicates(written.select("sample_id"), ["sample_id"]), "repeated sample id")
     header = manifest_digest(written)
     if not header.take(1):
         raise ValueError("empty manifest")

@@ -3,9 +3,11 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.choices import choices_from_columns
 from tesserae.operators import joins, samples, scoring
+from tesserae.operators.cache import cache_key
 from tesserae.plans.evaluate import evaluate
 from tesserae.plans.manifest import build_manifest
 from tesserae.runtime import scratch_path
+from tesserae.sources import manifest
 from tesserae.sources.manifest import manifest_digest, read_manifest, write_manifest
 
 
@@ -126,3 +128,24 @@ def test_result_files_of_many_runs(spark):
     write_results(first, root, "r1")
     with pytest.raises(ValueError, match="repeated"):
         checked_results(read_results(spark, root), locks)
+
+
+def test_digests_tell_containers_apart(spark):
+    kinds = {
+        "array<string>": ["array('a, b')", "array('a', 'b')", "array(null)", "array('null')", "array()", "null"],
+        "map<string,int>": ["map('a', 1, 'b', 2)", "map('a', 12)", "map('a: 1, b', 2)"],
+        "struct<x:string,y:array<int>>": ["named_struct('x', 'p', 'y', array(1, 2))", "named_struct('x', 'p, [1', 'y', array(2))"],
+    }
+    for kind, values in kinds.items():
+        rows = None
+        for i, value in enumerate(values):
+            row = spark.sql(f"SELECT '{i}' AS sample_id, cast({value} AS {kind}) AS v")
+            rows = row if rows is None else rows.unionByName(row)
+        same_id = rows.withColumn("sample_id", F.lit("s"))
+        assert manifest.row_digests(same_id).distinct().count() == len(values)
+        assert cache_key(rows, ["v"]).select("cache_key").distinct().count() == len(values)
+    turned = spark.sql("SELECT 's' AS sample_id, map('a', 1, 'b', 2) AS v UNION ALL SELECT 's', map('b', 2, 'a', 1)")
+    assert manifest.row_digests(turned).distinct().count() == 1
+    odd = spark.sql("SELECT 's' AS sample_id, double('nan') AS v")
+    with pytest.raises(Exception, match="form in JSON"):
+        manifest.row_digests(odd).collect()
