@@ -2,6 +2,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.sources import annotations, descriptions, files, inventory
 
@@ -80,3 +81,27 @@ def test_descriptions_later_file_wins(spark, tmp_path):
 def test_unsafe_or_ambiguous_mappings(spark):
     mapping = spark.createDataFrame([("k1", "a", "o"), ("k1", "b", "o"), ("k2", "d/e", "o"), ("k3", "f", "o")], "key string, name string, original string")
     assert {r.key for r in files.unsafe_or_ambiguous(mapping, "key").collect()} == {"k1", "k2"}
+
+
+def test_inventory_forms(spark):
+    def parse(*lines):
+        df = spark.createDataFrame([(x,) for x in lines], "value string")
+        return {r.path: (r.type, r.size) for r in inventory.parse_inventory(df).collect()}
+
+    link = "b,b,symbolic_link,12,m,r,t,file,99"
+    assert parse("a,a, file ,5", link) == {"a": ("file", "5"), "b": ("symbolic_link", "99")}
+    # With a header the named cells count.
+    assert parse("path,basename,type,size,mtime", "a,a, file ,5", link) == {
+        "a": (" file ", "5"), "b": ("symbolic_link", "12")}
+    many = ",".join(f'"c{i}, ""x"""' for i in range(8000))
+    cells = spark.createDataFrame([(many,)], "v string").select(inventory.csv_cells(F.col("v")).alias("c")).first().c
+    assert len(cells) == 8000 and cells[-1] == 'c7999, "x"'
+    assert parse('p,,file,"7",') == {"p": ("file", "7")}
+
+
+def test_malformed_inventory_is_an_error(spark, tmp_path):
+    for i, text in enumerate(["a,b\n", 'a,"b\nc",file,1\n']):
+        path = tmp_path / f"{i}.csv"
+        path.write_text(text)
+        with pytest.raises(ValueError, match="malformed"):
+            inventory.read_inventory(spark, str(path))
