@@ -48,7 +48,8 @@ class Rules:
         return children.withColumn("vector", vector.cast("array<float>"))
 
     def describe(self, views):
-        return views.withColumn("observed", F.concat(F.lit("looked at "), "region_id"))
+        said = F.concat(F.lit("looked at "), "region_id")
+        return views.withColumn("observed", F.when(F.col("query_id") != 5, said).otherwise(" "))
 
     def evaluate(self, asked, findings):
         yes = lambda test: F.when(test, "Yes").otherwise("No")
@@ -100,7 +101,7 @@ def test_ends(spark):
         sufficient=(F.col("query_id") == 1) & (F.col("round") == 2),
         missing=F.when(F.col("query_id") == 2, " \t").otherwise("edges"),
     )
-    asked = questions(spark, 1, 2, 3).union(questions(spark, 4, image="elsewhere"))
+    asked = questions(spark, 1, 2, 3, 5).union(questions(spark, 4, image="elsewhere"))
     run = run_agent(asked, regions(spark, 3), backend)
     found = {r.query_id: (r.stop_reason, r.status, r.pred_answer, r.iterations, r.total_examined_regions) for r in run.results.collect()}
     assert found == {
@@ -108,6 +109,8 @@ def test_ends(spark):
         2: ("protocol_error", "invalid", "", 1, 1),
         3: ("no_unexamined_regions", "ok", "B", 3, 3),
         4: ("no_regions", "invalid", "", 0, 0),
+        # Its first region got an empty description.
+        5: ("protocol_error", "invalid", "", 1, 1),
     }
     # Failed questions get no final call.
     assert {r.query_id for r in backend.concluded[0].collect()} == {1, 3}
