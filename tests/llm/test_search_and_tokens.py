@@ -167,7 +167,7 @@ def test_nearest_against_brute_force(spark):
     assert permutation.nearest(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_footrule_by_hand_and_recall():
+def test_footrule_by_hand():
     rng = np.random.default_rng(3)
     vectors, pivots = rng.normal(size=(2000, 16)), rng.normal(size=(32, 16))
     places = permutation.places_of(vectors, pivots)
@@ -178,6 +178,22 @@ def test_footrule_by_hand_and_recall():
         assert (files.footrule(order) == np.abs(clipped - np.arange(8)).sum(axis=1)).all()
 
 
+def test_recall_on_directions_without_structure():
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(12_000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    pivots = vectors[rng.permutation(len(vectors))[: permutation.PIVOTS]]
+    files = permutation.InvertedFiles(permutation.places_of(vectors, pivots), permutation.PIVOTS)
+    n = max(permutation.LEAST_CANDIDATES, int(permutation.CANDIDATE_SHARE * len(vectors)))
+    found = []
+    for query in range(0, 1000, 20):
+        order = np.argsort(permutation.places_of(vectors[[query]], pivots)[0])
+        near = np.argpartition(files.footrule(order), n)[:n]
+        best = np.argsort(-(vectors @ vectors[query]))[1:21]
+        found.append(np.isin(best, near).mean())
+    assert np.mean(found) >= 0.95
+
+
 def plain_bm25(docs, query, k):
     texts = {d: (t or "").encode().lower().split() for d, t in docs}
     mean = sum(map(len, texts.values())) / len(texts)
