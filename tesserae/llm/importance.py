@@ -43,7 +43,7 @@ TEMPERATURE = 0.02
 KEEP_WEIGHT = 3
 TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 TEXT_RUN = 1 << 22
-CACHED_TOKENS = 500_000
+CACHED_TOKENS = 150_000
 
 
 class Hasher:

@@ -40,8 +40,8 @@ SLACK = 1.5
 SHORT = 100
 SHARPNESS = 8.0
 UNKNOWN = "und"
-WORDS_AT_ONCE = 200_000
-CACHED_WORDS = 400_000
+WORDS_AT_ONCE = 100_000
+CACHED_WORDS = 150_000
 
 #: Letters only; a longer run is read in pieces, so that no piece is unbounded.
 LETTERS = re.compile(r"[^\W\d_]{1,40}")
@@ -301,7 +301,7 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Models | None:
     kept_out = unit_hash("calibrate", F.col("key")) < CALIBRATION_SHARE
     counted = sample.filter(~kept_out).select("lang", "text").mapInPandas(count_grams, _COUNTS)
     keys = ["lang", "n", "key", "context", "tail", "starts"]
-    counts = counted.groupBy(*keys).agg(F.sum("count").alias("count")).toPandas()
+    counts = counted.groupBy(*keys).agg(F.sum("count").alias("count")).toArrow().to_pandas()
     if not len(counts):
         return None
     models = fit(counts)

@@ -34,7 +34,7 @@ BUCKET_LIMIT = 2048
 #: that were taken out on the way.
 OPEN_BITS = 8
 SIGNATURES = 64
-SIGNATURES_A_TASK = 4_000_000
+SIGNATURES_A_TASK = 500_000
 HASHES_AT_ONCE = 1 << 16
 
 
@@ -135,7 +135,7 @@ def links(
     larger ``max_bits`` adds links where fingerprints meet in a bucket all the same.
     """
     keys = ["view", "mask", "value"]
-    parts = max(1, fps.count() * SIGNATURES // SIGNATURES_A_TASK)
+    parts = -(-(fps.count() + 1) * SIGNATURES // SIGNATURES_A_TASK)
     members = fps.repartition(parts).select(
         "view", "fp", F.lit(0).cast("bigint").alias("mask"), F.lit(0).alias("lo"), F.lit(64).alias("width")
     )
