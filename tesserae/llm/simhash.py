@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import small, word_runs, written
 from tesserae.llm.graph import components
+from tesserae.llm.shared_shingles import similar_components
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -131,8 +132,7 @@ def links(
 ) -> DataFrame:
     """Links (view, a, b) between fingerprints of a written table of distinct (view, fp).
 
-    Up to three differing bits, their classes are those of all pairs within ``max_bits``. A
-    larger ``max_bits`` adds links where fingerprints meet in a bucket all the same.
+    Their classes are those of all pairs within ``max_bits``, at any ``bucket_limit``.
     """
     keys = ["view", "mask", "value"]
     parts = -(-(fps.count() + 1) * SIGNATURES // SIGNATURES_A_TASK)
@@ -168,8 +168,6 @@ def near_duplicates(
     bucket_limit: int = BUCKET_LIMIT,
 ) -> DataFrame:
     """(doc_id, fp, component_id) of documents (doc_id, text)."""
-    if not 0 <= max_bits <= 3:
-        raise ValueError("two halves only find all links of up to three differing bits")
     hashed = docs.select("doc_id", fingerprints(F.col("text"), width, seed).alias("fp"))
     hashed = written(hashed, "fingerprints")
     fps = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
@@ -183,74 +181,23 @@ def near_duplicates(
     return hashed.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def _view_fingerprints(text: Column, width: int, views: int) -> Column:
-    @F.pandas_udf("array<bigint>")
-    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[fingerprint(t, width, SEED + v) for v in range(views)] for t in texts])
-
-    return of_texts(text)
-
-
-def shingle_set(text: str | None, width: int) -> set[bytes]:
-    found: set[bytes] = set()
-    for run in word_runs(text, keep=width - 1):
-        found.update(b" ".join(run[i : i + width]) for i in range(max(1, len(run) - width + 1)))
-    return found
-
-
-def jaccard(a: str | None, b: str | None, width: int) -> float:
-    left, right = shingle_set(a, width), shingle_set(b, width)
-    both = len(left & right)
-    return both / (len(left) + len(right) - both) if left or right else 1.0
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of texts (node, text) whose shingle sets are similar enough."""
-
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(a, b, width) >= similarity for a, b in zip(left, right, strict=True)], dtype=bool)
-
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    return pairs.join(left, "a").join(right, "b").filter(similar("left", "right")).select("a", "b")
-
-
 def drop_near_duplicates(
     docs: DataFrame,
-    width: int = 2,
-    max_bits: int = 10,
-    views: int = 3,
-    verify_width: int = 5,
+    width: int = 5,
     similarity: float = 0.8,
     bucket_limit: int = BUCKET_LIMIT,
 ) -> DataFrame:
     """``docs`` without near copies: of each component the row of least id stays.
 
-    Texts are compared by the signatures of ``views`` fingerprints with seeds of their own,
-    and linked if their shingles of ``verify_width`` words have a Jaccard similarity of at
-    least ``similarity``. Equal texts are one node, named by a 64-bit hash. A null id comes
-    last; of repeated rows one stays.
+    Texts are linked if their shingles of ``width`` words have a Jaccard similarity of at least
+    ``similarity``; ``shared_shingles`` finds all these links. Equal texts are one node, named by
+    a 64-bit hash. A null id comes last; of repeated rows one stays.
     """
     node = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    keyed = docs.select("doc_id", node.alias("node"), _view_fingerprints(docs["text"], width, views).alias("fps"))
-    keyed = written(keyed, "keyed")
+    keyed = written(docs.select("doc_id", node.alias("node")), "keyed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    nodes = written(keyed.groupBy("node").agg(F.min(order).alias("least"), F.first("fps").alias("fps")), "nodes")
-    views_of = written(nodes.select("node", F.posexplode("fps").alias("view", "fp")), "views")
-    fps = written(views_of.groupBy("view", "fp").agg(F.min("node").alias("rep")), "view-fps")
-    found = written(links(fps.select("view", "fp"), max_bits, bucket_limit), "view-links")
-    # A fingerprint stands for its first node; others of the same fingerprint pair with that.
-    ends = found.join(fps.select("view", F.col("fp").alias("a"), F.col("rep").alias("x")), ["view", "a"])
-    ends = ends.join(fps.select("view", F.col("fp").alias("b"), F.col("rep").alias("y")), ["view", "b"])
-    same = views_of.join(fps, ["view", "fp"]).filter("node <> rep").select(F.col("node").alias("x"), F.col("rep").alias("y"))
-    pairs = ends.select("x", "y").unionByName(same)
-    pairs = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    paired = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "paired")
-    texts = docs.select(node.alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(small(paired), "node", "left_semi")
-    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    roots = components(_verified(pairs, texts, verify_width, similarity))
+    nodes = written(keyed.groupBy("node").agg(F.min(order).alias("least")), "nodes")
+    roots = similar_components(docs.select(node.alias("node"), F.coalesce("text", F.lit("")).alias("text")), width, similarity, bucket_limit)
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
     keepers = rooted.groupBy("root").agg(F.min("least").alias("keeper")).select(F.col("keeper.node").alias("node"), F.col("keeper.doc_id").alias("kept"))

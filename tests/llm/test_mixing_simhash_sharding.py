@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tesserae.llm import mixing, sharding, simhash
+from tesserae.llm import mixing, sharding, shared_shingles, simhash
 from tesserae.llm.common import written
 from tesserae.llm.graph import components
 
@@ -133,6 +133,35 @@ def test_pipeline_stage_keeps_one_of_each_group(spark):
     assert simhash.drop_near_duplicates(documents(spark, [])).count() == 0
 
 
+def kept_ids(spark, texts, **options):
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    return sorted(r.doc_id for r in simhash.drop_near_duplicates(docs, **options).collect())
+
+
+def kept_by_brute_force(texts):
+    root = classes_of(range(len(texts)), lambda a, b: shared_shingles.jaccard(texts[a], texts[b], 5) >= 0.8)
+    return sorted(set(root.values()))
+
+
+def edited(rng, words, edits):
+    changed = list(words)
+    for place in rng.sample(range(len(words)), edits):
+        changed[place] = f"e{rng.randrange(10**6)}"
+    return " ".join(changed)
+
+
+def test_hub_that_is_similar_to_nobody_hides_no_link(spark):
+    # Every text has the line many times; hubs are close to all by fingerprint and below 0.8.
+    rng = random.Random(17)
+    line = "the line that is repeated in every text of this bucket "
+    texts = []
+    for _ in range(8):
+        tail = [f"t{rng.randrange(10**6)}" for _ in range(40)]
+        texts += [line * 60 + " ".join(tail), line * 60 + " ".join([*tail[:-1], "other"])]
+    assert len(kept_by_brute_force(texts)) == 8
+    assert kept_ids(spark, texts) == kept_by_brute_force(texts)
+
+
 def water(sizes, weights=(5, 2, 1), budget=1.5, cap=2.0):
     """Targets by repeated resharing of what goes beyond the caps."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
