@@ -162,6 +162,16 @@ def test_hub_that_is_similar_to_nobody_hides_no_link(spark):
     assert kept_ids(spark, texts) == kept_by_brute_force(texts)
 
 
+def test_no_one_word_edit_of_enough_similarity_stays(spark):
+    rng = random.Random(23)
+    texts = []
+    for n in [49, 50, 60, 80, 120, 200] * 20:
+        words = [f"w{rng.randrange(4000)}" for _ in range(n)]
+        texts += [" ".join(words), edited(rng, words, 1)]
+    assert all(shared_shingles.jaccard(a, b, 5) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    assert kept_ids(spark, texts) == list(range(0, len(texts), 2))
+
+
 def water(sizes, weights=(5, 2, 1), budget=1.5, cap=2.0):
     """Targets by repeated resharing of what goes beyond the caps."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
