@@ -172,6 +172,18 @@ def test_no_one_word_edit_of_enough_similarity_stays(spark):
     assert kept_ids(spark, texts) == list(range(0, len(texts), 2))
 
 
+def test_large_buckets_lose_no_link(spark):
+    rng = random.Random(29)
+    texts = []
+    for n in (60, 100):
+        words = [f"w{rng.randrange(4000)}" for _ in range(n)]
+        texts += [edited(rng, words, rng.choice([0, 1, 1, 2, 3])) for _ in range(40)]
+    want = kept_by_brute_force(texts)
+    assert 2 < len(want) < 60
+    assert kept_ids(spark, texts, bucket_limit=4) == want
+    assert kept_ids(spark, texts, bucket_limit=2048) == want
+
+
 def water(sizes, weights=(5, 2, 1), budget=1.5, cap=2.0):
     """Targets by repeated resharing of what goes beyond the caps."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
