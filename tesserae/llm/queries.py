@@ -186,3 +186,16 @@ def op4_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = bm25.build_index(table(spark, sf_dir, "documents"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return bm25.search(asked, index)
+
+
+#: The same search, asked by whole documents.
+DOCUMENT_SEARCH_SQL = BM25_SQL.replace("SELECT item_id AS query_id", "SELECT doc_id AS query_id").replace(
+    "FROM benchmark)", "FROM documents WHERE doc_id % 20 = 0)"
+)
+
+
+@query("op4_document_search", DOCUMENT_SEARCH_SQL)
+def op4_document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return bm25.search(asked, bm25.build_index(docs))

@@ -243,3 +243,13 @@ def test_blocks_are_pruned():
     most = np.where(blocks == 0, 9, 1)
     found, units, opened = bm25.best_in_shard([(1.0, docs, counts, blocks, most, np.full(64, 10))], lengths, 10.0, 5)
     assert opened == bm25.FIRST_BLOCKS and set(found) == set(range(20))
+
+
+def test_every_twentieth_document_is_asked(spark):
+    from tesserae.llm.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {r.doc_id for r in docs.filter("doc_id % 20 = 0 and text rlike '[^ \\\\t-\\\\r]'").collect()}
+    found = QUERIES["op4_document_search"](spark, sf_dir).collect()
+    assert want and {r.query_id for r in found} == want
