@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import backoff, bm25, importance, langid, mixing, packing, permutation, sharding, simhash, transducer
+from tesserae.llm import (
+    backoff,
+    bitsliced,
+    bm25,
+    credentials,
+    importance,
+    langid,
+    mixing,
+    packing,
+    periodic,
+    permutation,
+    sharding,
+    simhash,
+    transducer,
+)
 from tesserae.llm.common import crc_bucket
 from tesserae.runtime import table
 
@@ -199,3 +214,158 @@ def op4_document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
     return bm25.search(asked, bm25.build_index(docs))
+
+
+RESAMPLING_SQL = f"""
+WITH bits AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(
+           list_prepend(i, range(8)),
+           lambda c, step: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+texts AS (
+  SELECT true AS raw, doc_id, row_number() OVER () AS row, text FROM documents
+  UNION ALL SELECT false, NULL, NULL, text FROM benchmark),
+found AS (
+  SELECT raw, row, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM texts),
+counted AS (SELECT raw, row, word, count(*) AS n FROM found GROUP BY ALL),
+hashed AS (
+  SELECT word, xor(4294967295, list_reduce(
+           list_prepend(4294967295, list_transform(range(strlen(word)),
+             lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) % {bitsliced.BUCKETS} AS bucket
+  FROM (SELECT DISTINCT word FROM counted), bits),
+sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (raw), 0) AS s, coalesce(sum(n) FILTER (NOT raw), 0) AS t
+  FROM counted JOIN hashed USING (word) GROUP BY 1),
+total AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM sums),
+gains AS (
+  SELECT bucket, floor(1000 * ln((sums.t + 1)::DOUBLE * (total.s + {bitsliced.BUCKETS})::DOUBLE
+           / ((sums.s + 1)::DOUBLE * (total.t + {bitsliced.BUCKETS})::DOUBLE)))::BIGINT AS gain
+  FROM sums, total),
+summed AS (
+  SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS gain
+  FROM counted JOIN hashed USING (word) JOIN gains USING (bucket) WHERE raw GROUP BY 1),
+weighed AS (
+  SELECT doc_id, row, coalesce(n_features, 0) AS n_features,
+         CASE WHEN n_features > 0 THEN (gain - ((gain % n_features) + n_features) % n_features) // n_features
+              ELSE 0 END AS weight,
+         ('0x' || substr(sha256('{bitsliced.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h
+  FROM texts LEFT JOIN summed USING (row) WHERE raw),
+scored AS (
+  SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM weighed),
+ranked AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank,
+         count(*) OVER () AS n
+  FROM scored WHERE n_features >= {bitsliced.LEAST_WORDS})
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score,
+       CASE WHEN rank <= {bitsliced.PERCENT} * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (row)
+"""
+
+
+@query("op12_bitsliced_resampling", RESAMPLING_SQL)
+def op12_bitsliced_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bitsliced.resample(docs, table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document, whose tail repeats if the hash of its id says so."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n = len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    at = g % n
+    period = 1 + (n - at) // (3 + g % 8)
+    tail = words[at : at + period] * -(-(n - at) // period)
+    return words[:at] + tail[: n - at]
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), rewrite=repeat_tail)
+    longest = F.array_min(F.expr("transform(runs, r -> struct(-r.length AS length, r.start AS start, r.period AS period))"))
+    lines = F.expr("array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')")
+    found = found.select("doc_id", "runs", "collapsed", longest.alias("best"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.length")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * -best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _credential_scan(name: str, pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return (
+        f"SELECT row, '{name}' AS scan, regexp_extract_all(text, '{quoted}') AS m,\n"
+        f"       string_split_regex(text, '{quoted}') AS g FROM texts"
+    )
+
+
+CREDENTIAL_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+scans AS (
+{" UNION ALL ".join(_credential_scan(n, p) for n, p in [*credentials.PATTERNS.items(), ("break", credentials.BLANK_LINE)])}),
+listed AS (
+  SELECT row, scan, unnest(m) AS m, unnest(g[:len(m)]) AS g, generate_subscripts(m, 1) AS i
+  FROM scans WHERE len(m) > 0),
+placed AS (
+  SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY row, scan ORDER BY i)::BIGINT AS stop FROM listed),
+valued AS (
+  SELECT row, scan, m, stop - length(m) AS start, stop,
+         length(regexp_extract(m, '{credentials.PATTERNS["assign"].replace("'", "''")}', 1)) AS value
+  FROM placed),
+parts AS (
+  SELECT row, start, stop,
+         CASE scan
+         WHEN 'assign' THEN CASE WHEN value >= {credentials.LONG_VALUE} THEN 0 WHEN value >= {credentials.SHORT_VALUE} THEN 3 END
+         WHEN 'access' THEN CASE WHEN length(m) >= {credentials.LONG_ACCESS} THEN 1
+                                 WHEN length(m) >= {credentials.SHORT_ACCESS} THEN 5 END
+         WHEN 'hex' THEN CASE WHEN length(m) >= {credentials.LONG_HEX} THEN 2
+                              WHEN regexp_matches(m, '[a-f]') AND regexp_matches(m, '[0-9]') THEN 6 END
+         WHEN 'account' THEN 4 WHEN 'endpoint' THEN 7 END AS kind
+  FROM valued),
+roles AS (SELECT *, {credentials.ROLES}[kind + 1] AS role FROM parts WHERE kind IS NOT NULL),
+reported AS (
+  SELECT * FROM roles a
+  WHERE kind < {credentials.STRONG} OR EXISTS (
+    SELECT 1 FROM roles b
+    WHERE b.row = a.row AND (a.role = 'secret') <> (b.role = 'secret')
+      AND greatest(a.start, b.start) >= least(a.stop, b.stop)
+      AND greatest(a.start, b.start) - least(a.stop, b.stop) <= {credentials.SCOPE}
+      AND NOT EXISTS (
+        SELECT 1 FROM valued v
+        WHERE v.row = a.row AND v.scan = 'break'
+          AND v.start >= least(a.stop, b.stop) AND v.stop <= greatest(a.start, b.start)))),
+labelled AS (
+  SELECT row, start, kind, {credentials.KINDS}[kind + 1] || ':' || start || ':' || stop AS span FROM reported),
+summed AS (
+  SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+         count(*) FILTER (kind = 2) AS n_hex,
+         coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < {credentials.STRONG}), '') AS base,
+         string_agg(span, ',' ORDER BY start, kind) AS spans
+  FROM labelled GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN summed USING (row)
+"""
+
+
+@query("op11_credential_links", CREDENTIAL_SQL)
+def op11_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < credentials.STRONG)
+    counts = [
+        F.expr(f"CAST(size(filter(spans, s -> s.kind = {kind})) AS BIGINT) AS n_{credentials.KINDS[kind]}")
+        for kind in range(credentials.STRONG)
+    ]
+    digest = F.sha2(credentials.span_text(base), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, credentials.span_text(F.col("spans")).alias("spans"))
