@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,16 +23,32 @@ SPACE_RANGES = (
 SPACE_CHARS = "".join(chr(c) for low, high in SPACE_RANGES for c in range(low, high + 1))
 
 
-
 def _folds() -> dict[str, str]:
-    """Full case folding of every letter for which lower-casing gives something else; the
-    capital sigma is one, as its small form depends on the letters around it."""
+    """Full case folding of every letter for which lower-casing gives something else."""
     letters = map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)])
-    return {c: c.casefold() for c in letters if c.casefold() != c.lower() or c == "Σ"}
+    return {c: c.casefold() for c in letters if c.casefold() != c.lower()}
 
 
 FOLDS = _folds()
-_FOLDED_LETTER = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in FOLDS) + "]"
+# The most frequent of them in running text have a replacement of their own.
+FREQUENT = ("ß", "µ")
+_SINGLE = {c: fold for c, fold in FOLDS.items() if len(fold) == 1 and c not in FREQUENT}
+_LONGER = {c: fold for c, fold in FOLDS.items() if len(fold) > 1 and c not in FREQUENT}
+
+
+def _letter_class(letters: Iterable[str]) -> str:
+    """A character class of letters, neighbours as ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, letters)):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges) + "]"
+
+
+# A quick test first: few texts have letters from there on, apart from signs.
+_BEYOND_LATIN = "[\\x{149}-\\x{1FFF}\\x{A000}-\\x{10FFFF}]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,10 +67,19 @@ def strip(text: Column) -> Column:
 def normalize_text(text: Column) -> Column:
     """Collapse white space, trim, fold case; null becomes the empty string."""
     key = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), UNICODE_SPACES, " "))
-    table = F.create_map(*[F.lit(part) for fold in FOLDS.items() for part in fold])
-    letters = F.transform(F.split(key, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c)))
-    # Few texts hold a letter that lower-casing alone does not fold.
-    return F.when(key.rlike(_FOLDED_LETTER), F.array_join(letters, "")).otherwise(F.lower(key))
+    # The small form of the capital sigma would depend on the letters around it.
+    low = F.lower(F.replace(key, F.lit("Σ"), F.lit("σ")))
+    for letter in FREQUENT:
+        low = F.replace(low, F.lit(letter), F.lit(FOLDS[letter]))
+    single = lambda t: F.translate(t, "".join(_SINGLE), "".join(_SINGLE.values()))
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(fold).alias("fold")) for c, fold in _LONGER.items()])
+    longer = lambda t: F.aggregate(pairs, t, lambda done, pair: F.replace(done, pair["c"], pair["fold"]))
+
+    def folded(t: Column) -> Column:
+        once = F.when(t.rlike(_letter_class(_SINGLE)), single(t)).otherwise(t)
+        return F.when(t.rlike(_letter_class(_LONGER)), longer(once)).otherwise(once)
+
+    return F.when(low.rlike(_BEYOND_LATIN), let(low, folded)).otherwise(low)
 
 
 def is_blank(text: Column) -> Column:

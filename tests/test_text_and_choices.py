@@ -1,5 +1,6 @@
 import hashlib
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,14 @@ def test_normalize_text(spark):
     assert values(spark, strip, ["  a b \x1f", "\n"]) == ["a b", ""]
 
 
+def test_every_letter_folds_like_its_own(spark):
+    """All assigned code points, between letters that could change a fold."""
+    codes = [c for c in range(0x21, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    texts = ["a" + " ".join(map(chr, codes[i : i + 500])) + "Aς" for i in range(0, len(codes), 500)]
+    wanted = [" ".join(t.split()).casefold() for t in texts]
+    assert values(spark, normalize_text, texts) == wanted
+
+
 @pytest.mark.parametrize(
     "raw,key",
     [
