@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators.joins import check_identity
@@ -12,9 +12,11 @@ from tesserae.runtime import require_empty
 RESULT_SCHEMA = "sample_id string, status string, pred_answer string, run_hash string"
 
 
-def run_of(path):
-    """Run folder of ``…/<run>/results/<file>``."""
-    return F.regexp_extract(path, r"([^/]+)/results/[^/]+\z", 1)
+def run_of(path: Column) -> Column:
+    """Run of ``…/<run>/results/<file>``, or of ``…/results/run=<run>/<file>``."""
+    folder = F.regexp_extract(path, r"/([^/]+)/[^/]+\z", 1)
+    named = F.regexp_extract(path, r"([^/]+)/results/[^/]+\z", 1)
+    return F.when(folder.startswith("run="), F.substring(folder, 5, 1 << 30)).otherwise(named)
 
 
 def read_results(spark: SparkSession, root: str, schema: str = RESULT_SCHEMA) -> DataFrame:
@@ -31,6 +33,11 @@ def write_results(results: DataFrame, root: str, run: str) -> None:
     results.write.mode("append").json(f"{root}/{run}/results")
 
 
+def write_run_results(results: DataFrame, root: str) -> None:
+    """Results of many runs (column ``run``: letters, digits, ``-`` and ``_``) in one job."""
+    results.write.mode("append").partitionBy("run").json(f"{root}/runs/results")
+
+
 def checked_results(results: DataFrame, locks: DataFrame) -> DataFrame:
     """Results, after refusing repeated ids, foreign run hashes and mixed runs."""
     require_empty(find_duplicates(results, ["sample_id"]), "repeated result")

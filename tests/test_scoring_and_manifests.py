@@ -130,6 +130,15 @@ def test_result_files_of_many_runs(spark):
         checked_results(read_results(spark, root), locks)
 
 
+def test_result_files_written_in_one_job(spark):
+    from tesserae.sources.results import read_results, write_run_results
+
+    root = scratch_path(spark, "runs")
+    rows = results(spark).withColumn("run", F.concat(F.lit("r_"), F.substring("sample_id", -1, 1)))
+    write_run_results(rows, root)
+    assert {(r.sample_id, r.run) for r in read_results(spark, root).collect()} == {(f"test:{i}", f"r_{i}") for i in range(3)}
+
+
 def test_digests_tell_containers_apart(spark):
     kinds = {
         "array<string>": ["array('a, b')", "array('a', 'b')", "array(null)", "array('null')", "array()", "null"],
