@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.runtime import scratch_path
@@ -24,6 +24,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables on shared storage that are deleted when the work that reads them is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete the tables. What a later result still reads must be written elsewhere."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        settings = self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = hadoop(path)
+            place.getFileSystem(settings).delete(place, True)
+        self.paths.clear()
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (a written table) with a broadcast hint if a count proves that it is small."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

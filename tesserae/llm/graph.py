@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import written
+from tesserae.llm.common import Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the component's least node.
 
     Alternating large-star and small-star steps: each links the neighbours of a node to the
     least node around it, until every node points at its root. A node with very many
     neighbours is only ever a key of joins whose both sides are exchanged, so adaptive
-    execution can split it.
+    execution can split it. With ``scratch`` the tables of the steps can be deleted later.
     """
+    written = (scratch or Scratch(edges.sparkSession)).written
     down = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     current = written(edges.select(*down).filter("a <> b").distinct(), "links")
     before = None

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import small, word_runs, written
+from tesserae.llm.common import Scratch, small, word_runs, written
 from tesserae.llm.graph import components
 from tesserae.llm.shared_shingles import similar_components
 
@@ -195,20 +195,23 @@ def drop_near_duplicates(
     ``similarity``; ``shared_shingles`` finds all these links. Equal texts are one node, named by
     a 64-bit hash. A null id comes last; of repeated rows one stays.
     """
+    scratch = Scratch(docs.sparkSession)
     node = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    keyed = written(docs.select("doc_id", node.alias("node")), "keyed")
+    keyed = scratch.written(docs.select("doc_id", node.alias("node")), "keyed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    nodes = written(keyed.groupBy("node").agg(F.min(order).alias("least")), "nodes")
-    roots = similar_components(docs.select(node.alias("node"), F.coalesce("text", F.lit("")).alias("text")), width, similarity, bucket_limit)
+    nodes = scratch.written(keyed.groupBy("node").agg(F.min(order).alias("least")), "nodes")
+    texts = docs.select(node.alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    roots = similar_components(texts, width, similarity, bucket_limit, scratch)
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted, "rooted")
+    rooted = scratch.written(rooted, "rooted")
     keepers = rooted.groupBy("root").agg(F.min("least").alias("keeper")).select(F.col("keeper.node").alias("node"), F.col("keeper.doc_id").alias("kept"))
-    keepers = written(keepers, "keepers")
+    keepers = scratch.written(keepers, "keepers")
     marked = keyed.select("doc_id", "node").join(keepers.withColumn("__keeps", F.lit(True)), "node", "left")
     stays = F.col("__keeps").isNotNull() & F.col("doc_id").eqNullSafe(F.col("kept"))
     ids = marked.groupBy("doc_id", "node").agg(F.max(stays).alias("stays"), F.count("*").alias("rows"))
     ids = written(ids, "decisions")
     gone = small(written(ids.filter("not stays").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")), "gone"))
+    scratch.clear()
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (node == F.col("__node")), "left_anti")
     repeated = ids.filter("stays and rows > 1").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"))
     if not repeated.take(1):
