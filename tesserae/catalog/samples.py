@@ -367,7 +367,7 @@ SELECT region_id, kind, CASE kind WHEN 'generic' THEN {_quoted(prompts.GENERIC)}
 FROM (SELECT *, 'Region=' || region_id || '; Original-pixel bounds=(' || x || ',' || y || ',' || width || ','
    || height || '); Magnification=5.0x; Scale source=slide_metadata' AS line,
    {_sql_fill(prompts.QUESTION, question="('question ' || vec_id)")} AS q FROM regions),
-  (VALUES ('generic'), ('context'), ('zoom')) k(kind)"""))
+  (VALUES ('generic'), ('context'), ('zoom'), ('legacy zoom')) k(kind)"""))
 def scl_perceptor_prompts(spark: SparkSession, sf: str) -> DataFrame:
     r = fx.regions(spark, sf)
     vec = F.col("vec_id").cast("string")
@@ -382,6 +382,7 @@ def scl_perceptor_prompts(spark: SparkSession, sf: str) -> DataFrame:
             "generic": prompts.perceptor_prompt(prompts.PAPER, line, None, None),
             "context": prompts.perceptor_prompt(prompts.CONTEXT, line, question, None),
             "zoom": prompts.perceptor_prompt(prompts.CONTEXT, line, question, missing),
+            "legacy zoom": prompts.perceptor_prompt(prompts.LEGACY, line, question, missing),
         }.items()
     ])
     return r.select("region_id", F.explode(kinds).alias("_k")).select("region_id", "_k.*")

@@ -68,6 +68,9 @@ PERCEPTOR_SYSTEM = (
     "medical sources. The assistant should carefully consider visual details in pathology "
     "images, such as cell morphology, staining patterns, and tissue architecture."
 )
+LEGACY_PERCEPTOR_SYSTEM = (
+    "You are an AI assistant specialized in describing visible pathology features."
+)
 PREDICT_SYSTEM = (
     "You are an expert AI pathology assistant. Your task is trying to answer the question "
     "step-by-step based on the patch descriptions. Output ONLY a JSON object: "
@@ -148,9 +151,11 @@ _PAPER_SYSTEMS = {
     "reflect": REFLECT_SYSTEM,
     "missing_info": MISSING_SYSTEM,
     "final": FINAL_SYSTEM,
+    "describe": PERCEPTOR_SYSTEM,
 }
 SYSTEMS = {
     LEGACY: {
+        "describe": LEGACY_PERCEPTOR_SYSTEM,
         "predict": LEGACY_PREDICT_SYSTEM,
         "reflect": LEGACY_REFLECT_SYSTEM,
         "missing_info": LEGACY_MISSING_SYSTEM,
@@ -244,8 +249,9 @@ def magnification_header(level: Column) -> Column:
 def perceptor_prompt(
     protocol: str, metadata: Column, question: Column | None, missing_info: Column | None
 ) -> Column:
+    """What is asked about one region; one protocol leaves out where it lies and what is missing."""
     instruction = F.lit(GENERIC) if question is None else fill(QUESTION, question=question)
-    if protocol != CONTEXT:
+    if protocol == PAPER:
         return instruction
     prompt = fill(CONTEXT_PERCEPTOR, metadata=metadata, instruction=instruction)
     if missing_info is None:

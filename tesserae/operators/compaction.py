@@ -23,6 +23,7 @@ def compact(
     threshold: int = 50,
     chunk: int = 10,
     length: Callable[[Column], Column] = F.length,
+    fits: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One text per group within ``budget``: (keys, status, level, chunks, size, text).
 
@@ -31,6 +32,9 @@ def compact(
     five times; a summary that does not get shorter makes the group ``invalid``, and no row
     is ever left out. Sizes come from sums, so a text is only put together once it is known
     to fit. ``summarize`` maps (keys, block, n_rows, text) to the same with a new text.
+
+    With ``fits`` the size only bounds what is put together: it maps (keys, text) of the groups
+    within ``budget`` to (keys, fits), so a whole request can be measured.
     """
     separator = F.length(F.lit(SEPARATOR))
     chunks = rank_in_groups(
@@ -53,12 +57,11 @@ def compact(
             F.when(grew, "invalid").when(out_of_levels, "invalid").when(short, "ok").otherwise("next")
         )
         sizes = sizes.select(*keys, "chunks", "size", state.alias("status"))
-        marked = stable(chunks.drop("_before").join(sizes, list(keys)))
-        finished = marked.filter("status = 'ok'")
-        texts = F.array_sort(F.collect_list(F.struct("_rank", "text")))
-        fitting = finished.groupBy(*keys, "status", "chunks", "size").agg(
-            F.array_join(F.transform(texts, lambda entry: entry["text"]), SEPARATOR).alias("text")
-        )
+        marked = chunks.drop("_before").join(sizes, list(keys))
+        if fits is not None:
+            marked = _measured(stable(marked), keys, fits)
+        marked = stable(marked)
+        fitting = _joined(marked.filter("status = 'ok'"), [*keys, "status", "chunks", "size"])
         failed = (
             marked.filter("status = 'invalid' AND _rank = 1")
             .select(*keys, "status", "chunks", "size", F.lit(None).cast("string").alias("text"))
@@ -92,5 +95,61 @@ def compact(
     return done.select(*keys, "status", "level", "chunks", "size", "text")
 
 
+def fit_requests(
+    requests: DataFrame,
+    evidence: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    request: Callable[[Column], Column],
+    count: Callable[[Column], Column],
+    room: int,
+    summarize: Callable[[DataFrame], DataFrame],
+    least_evidence: int = 1024,
+    threshold: int = 50,
+    longest_token: int = 64,
+) -> DataFrame:
+    """Evidence shortened until each whole request fits: (keys, status, level, chunks, size, text).
+
+    ``requests`` has one row per group; ``request`` renders its longest request around an evidence
+    text, retry and history included, and ``count`` counts its tokens. ``room`` is the context
+    without the answer. Where the rest of the request leaves less than ``least_evidence`` tokens, the
+    group is ``no_room`` and nothing is summarised. No token stands for more than
+    ``longest_token`` characters, so longer evidence is not even put together.
+    """
+    alone = F.coalesce(count(request(F.lit(""))) <= room - least_evidence, F.lit(False))
+    judged = stable(requests.withColumn("_alone", alone))
+    able = judged.filter("_alone").drop("_alone", "text")
+
+    def fits(joined: DataFrame) -> DataFrame:
+        beside = able.join(joined.select(*keys, "text"), list(keys))
+        return beside.select(*keys, (count(request(F.col("text"))) <= room).alias("fits"))
+
+    lines = evidence.join(able.select(*keys), list(keys), "left_semi")
+    fitted = compact(lines, keys, order, room * longest_token, summarize, threshold, fits=fits)
+    nothing = F.lit(None).cast("bigint")
+    without = judged.filter("NOT _alone").select(
+        *keys, F.lit("no_room").alias("status"), nothing.alias("level"), nothing.alias("chunks"),
+        nothing.alias("size"), F.lit(None).cast("string").alias("text"),
+    )
+    return fitted.unionByName(without)
+
+
+def _joined(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    texts = F.array_sort(F.collect_list(F.struct("_rank", "text")))
+    return chunks.groupBy(*keys).agg(
+        F.array_join(F.transform(texts, lambda entry: entry["text"]), SEPARATOR).alias("text")
+    )
+
+
+def _measured(
+    marked: DataFrame, keys: Sequence[str], fits: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Groups that seemed short enough, but do not fit once measured, go on."""
+    judged = fits(_joined(marked.filter("status = 'ok'"), keys))
+    judged = judged.select(*keys, F.coalesce("fits", F.lit(False)).alias("_fits"))
+    status = F.when((F.col("status") == "ok") & ~F.col("_fits"), "next").otherwise(F.col("status"))
+    return marked.join(judged, list(keys), "left").withColumn("status", status).drop("_fits")
+
+
 def _order_columns(evidence: DataFrame, keys: Sequence[str]) -> list[str]:
     return [column for column in evidence.columns if column not in {*keys, "text"}]

@@ -12,6 +12,7 @@ from tesserae.functions.text import json_list, json_string, strip
 from tesserae.operators.joins import map_cases
 from tesserae.operators.samples import make_samples
 from tesserae.runtime import require_empty
+from tesserae.sources.arrays import json_elements
 
 # Columns of the slide question table and the mandatory parts of the nested one.
 SLIDE_COLUMNS = ("ID", "Slide", "Task", "Question", "A", "B", "C", "D", "Answer")
@@ -107,6 +108,17 @@ def identity_digest(source: Column, img: Column, question: Column, options: Colu
     )
 
 
+def repeated_questions(rows: DataFrame) -> DataFrame:
+    """(identity, rows, first) of questions that are in several rows: ``first`` is the least
+    (source, split, No)."""
+    options = F.coalesce("options", F.array().cast("array<string>"))
+    identity = identity_digest(F.col("source"), F.col("img"), F.col("question"), options)
+    grouped = rows.groupBy(identity.alias("identity")).agg(
+        F.count("*").alias("rows"), F.min(F.concat_ws("/", "source", "split", "No")).alias("first")
+    )
+    return grouped.filter("rows > 1")
+
+
 def nested_samples(rows: DataFrame, dataset: str, image_root: str = "") -> DataFrame:
     prefix = image_root.rstrip("/") + "/" if image_root else ""
     ready = rows.select(
@@ -139,6 +151,7 @@ def read_nested_qa_json(
     lacking = [f"{row.source}/{row.split}" for row in missing_parts(rows, sources, splits).collect()]
     if lacking:
         raise ValueError(f"release lacks {sorted(lacking)}")
+    require_empty(repeated_questions(rows), "repeated question")
     return nested_samples(rows, dataset, image_root)
 
 
@@ -160,6 +173,20 @@ def case_rows(payloads: DataFrame, payload: str = "value", keys: Sequence[str] =
     )
 
 
+def case_elements(elements: DataFrame, element: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The same of single elements with their position; an element that is no object is an error."""
+    read = elements.select(*keys, "position", F.from_json(F.col(element), _CASE).alias("_c"))
+    require_empty(read.filter("_c IS NULL").select(*keys, "position"), "element that is no question")
+    return read.select(
+        *keys,
+        "position",
+        F.col("_c.Id").alias("case_id"),
+        F.col("_c.Question").alias("question"),
+        _listed(F.col("_c.Choice")).alias("choices"),
+        F.col("_c.Answer").alias("answer"),
+    )
+
+
 def case_samples(
     rows: DataFrame,
     slide_map: DataFrame,
@@ -181,8 +208,10 @@ def read_case_qa_json(
     image_root: str = "",
     require_images: bool = False,
 ) -> DataFrame:
-    """One JSON array file; the position in the array is the question's id."""
-    rows = case_rows(spark.read.text(path, wholetext=True))
+    """One JSON array file of any size; the position in the array is the question's id."""
+    elements = json_elements(spark, path)
+    require_empty(elements.select("file").distinct().groupBy().count().filter("count > 1"), "more than one file")
+    rows = case_elements(elements, "element")
     return case_samples(
         rows, slide_map, F.col("position").cast("string"), image_root, require_images=require_images
     )

@@ -139,3 +139,31 @@ def pick_links(links: DataFrame, wanted: DataFrame, page: str) -> DataFrame:
     """The url at a 1-based position per wanted row, null when the page has too few."""
     at = links.select(page, (F.col("position") + 1).alias("position"), "url")
     return wanted.join(at, [page, "position"], "left")
+
+
+def indexed_links(pages: DataFrame, page: str, html: str, pattern: str) -> DataFrame:
+    """(page, index, url, urls): the links that the markup itself numbers, from a pattern of two groups
+    (index, url). An index with several different urls is a conflict: its url is null and ``urls``
+    tells how many there are."""
+    found = F.arrays_zip(
+        F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1)).alias("index"),
+        F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(2)).alias("url"),
+    )
+    links = pages.select(page, F.explode(F.array_distinct(found)).alias("_l"))
+    links = links.select(page, F.col("_l.index").try_cast("bigint").alias("index"), F.col("_l.url").alias("url"))
+    counted = links.groupBy(page, "index").agg(F.count_distinct("url").alias("urls"), F.min("url").alias("url"))
+    return counted.select(page, "index", F.when(F.col("urls") == 1, F.col("url")).alias("url"), "urls")
+
+
+def pick_indexed(links: DataFrame, wanted: DataFrame, page: str) -> DataFrame:
+    """``wanted`` (page, position from 1) with url and status: found, missing, or conflict where the page
+    contradicts itself at any index, as then none of its links can be trusted."""
+    pages = links.groupBy(page).agg(F.count("*").alias("exposed"), F.count_if(F.col("urls") > 1).alias("_bad"))
+    at = links.select(page, (F.col("index") + 1).alias("position"), "url")
+    joined = wanted.join(pages, page, "left").join(at, [page, "position"], "left")
+    conflict = F.coalesce(F.col("_bad") > 0, F.lit(False))
+    status = F.when(conflict, "conflict").when(F.col("url").isNull(), "missing").otherwise("found")
+    return joined.select(
+        *wanted.columns, F.when(~conflict, F.col("url")).alias("url"), status.alias("status"),
+        F.coalesce("exposed", F.lit(0)).alias("exposed"),
+    )

@@ -13,9 +13,9 @@ RESULT_SCHEMA = "sample_id string, status string, pred_answer string, run_hash s
 
 
 def run_of(path: Column) -> Column:
-    """Run of ``…/<run>/results/<file>``, or of ``…/results/run=<run>/<file>``."""
+    """Run of ``…/<run>/results/[start=…/]<file>``, or of ``…/results/run=<run>/<file>``."""
     folder = F.regexp_extract(path, r"/([^/]+)/[^/]+\z", 1)
-    named = F.regexp_extract(path, r"([^/]+)/results/[^/]+\z", 1)
+    named = F.regexp_extract(path, r"([^/]+)/results/(?:start=[^/]+/)?[^/]+\z", 1)
     return F.when(folder.startswith("run="), F.substring(folder, 5, 1 << 30)).otherwise(named)
 
 
