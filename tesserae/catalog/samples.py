@@ -28,7 +28,7 @@ from tesserae.operators.regions import scale_columns
 from tesserae.operators.responses import validate_responses
 from tesserae.operators.retrieval import unit_rows
 from tesserae.runtime import table
-from tesserae.sources.files import extract_links, pick_links
+from tesserae.sources.files import extract_links, indexed_links, pick_indexed, pick_links
 
 # ---------------------------------------------------------------- projections
 
@@ -525,6 +525,35 @@ def scl_extract_links(spark: SparkSession, sf: str) -> DataFrame:
     return picked.unionByName(rest.withColumn("picked", F.lit(False)))
 
 
+@query("scl_indexed_links", """
+WITH marked AS (
+  SELECT page_id, unnest(u) AS url, 2 * (generate_subscripts(u, 1) - 1) AS place
+  FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS u FROM pages)
+  UNION ALL SELECT page_id, 'other', 0 FROM pages WHERE page_id % 7 = 0),
+counted AS (SELECT page_id, place, count(DISTINCT url) AS urls, min(url) AS url FROM marked GROUP BY ALL),
+exposed AS (SELECT page_id, count(*) AS exposed, bool_or(urls > 1) AS bad FROM counted GROUP BY 1)
+SELECT page_id, page_id % 9 + 1 AS position, CASE WHEN NOT coalesce(bad, false) THEN c.url END AS url,
+  CASE WHEN coalesce(bad, false) THEN 'conflict' WHEN c.url IS NULL THEN 'missing' ELSE 'found' END AS status,
+  coalesce(exposed, 0) AS exposed
+FROM pages LEFT JOIN exposed USING (page_id)
+  LEFT JOIN counted c USING (page_id) WHERE c.place = page_id % 9
+UNION ALL
+SELECT page_id, page_id % 9 + 1, NULL, CASE WHEN coalesce(bad, false) THEN 'conflict' ELSE 'missing' END, coalesce(exposed, 0)
+FROM pages LEFT JOIN exposed USING (page_id)
+WHERE NOT EXISTS (SELECT 1 FROM counted c WHERE c.page_id = pages.page_id AND c.place = pages.page_id % 9)""")
+def scl_indexed_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links as numbered media entries with gaps; every seventh page contradicts itself at 0."""
+    pages = table(spark, sf, "pages")
+    urls = F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))
+    entry = lambda url, i: F.concat(F.lit("media:"), (i * 2).cast("string"), F.lit('="'), url, F.lit('"'))
+    entries = F.array_join(F.transform(urls, entry), " ")
+    odd = F.when(F.col("page_id") % 7 == 0, ' media:0="other"').otherwise("")
+    marked = pages.select("page_id", F.concat(entries, odd).alias("html"))
+    links = indexed_links(marked, "page_id", "html", r'media:(\d+)="([^"]*)"')
+    wanted = pages.select("page_id", (F.col("page_id") % 9 + 1).cast("bigint").alias("position"))
+    return pick_indexed(links, wanted, "page_id")
+
+
 @query("scl_scale", sql.using("slides", "scaled", body="""
 SELECT image_id, round(mpp, 9) AS mpp, mpp_source, round(10.0::DOUBLE / mpp, 9) AS native_magnification,
   greatest(1, round_even(4096 * 5 / (10.0::DOUBLE / mpp), 0))::BIGINT AS output_px

@@ -13,7 +13,7 @@ from tesserae.functions.choices import choices_key
 from tesserae.operators.joins import check_identity
 from tesserae.operators.sets import find_duplicates
 from tesserae.runtime import scratch_path, table
-from tesserae.sources import annotations, descriptions, files, inventory, manifest, results
+from tesserae.sources import annotations, arrays, descriptions, files, inventory, manifest, payloads, results
 
 _LABELLED = "CASE WHEN closed THEN 'A=' || opt_a || '|B=' || opt_b || '|C=' || opt_c || '|D=' || opt_d ELSE '' END"
 
@@ -105,7 +105,7 @@ SELECT 'cases:' || (doc_id // 100) || ':' || (doc_id % 100) AS sample_id,
   CASE WHEN doc_id % 3 = 0 THEN '' ELSE '/slides/slide_' || doc_id || '.svs' END AS image_path,
   sha256(question) AS question_hash, {_LABELLED} AS choices, gold AS ground_truth FROM qa"""))
 def src_case_qa(spark: SparkSession, sf: str) -> DataFrame:
-    """Arrays of a hundred cases; the id is the release part and the array position."""
+    """Files of one array of a hundred cases each; the id is the release part and the position."""
     rows = fx.qa(spark, sf)
     listed = F.array(*[F.col(f"opt_{c}") for c in "abcd"])
     case_id = F.concat(F.lit("case-"), F.col("doc_id").cast("string"))
@@ -113,7 +113,7 @@ def src_case_qa(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", case_id.alias("Id"), F.col("question").alias("Question"),
         F.when(F.col("closed"), listed).alias("Choice"), F.col("gold").alias("Answer"),
     )
-    payloads = (
+    releases = (
         rows.groupBy(F.floor(F.col("doc_id") / 100).alias("part"))
         .agg(F.array_sort(F.collect_list(entry)).alias("_c"))
         .select("part", F.to_json("_c").alias("value"))
@@ -122,9 +122,13 @@ def src_case_qa(spark: SparkSession, sf: str) -> DataFrame:
         case_id.alias("case_id"),
         F.concat(F.lit("slide_"), F.col("doc_id").cast("string"), F.lit(".svs")).alias("slide_file"),
     )
-    sid = F.concat_ws(":", F.col("part").cast("string"), F.col("position").cast("string"))
+    path = scratch_path(spark, "cases")
+    releases.write.partitionBy("part").text(path)
+    elements = arrays.json_elements(spark, path)
+    elements = elements.withColumn("part", F.regexp_extract("file", r"/part=([0-9]+)/", 1))
+    sid = F.concat_ws(":", F.col("part"), F.col("position").cast("string"))
     made = annotations.case_samples(
-        annotations.case_rows(payloads, keys=["part"]), slide_map, sid, "/slides"
+        annotations.case_elements(elements, "element", ["part"]), slide_map, sid, "/slides"
     )
     return made.select(
         "sample_id", "image_id", "image_path", F.sha2("question", 256).alias("question_hash"),
@@ -155,10 +159,10 @@ def src_merge_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     broken = F.when(i % 29 == 0, F.expr("left(_e.value, length(_e.value) - 2)")).otherwise(F.col("_e.value"))
     path = scratch_path(spark, "descriptions")
     both.select(broken.alias("value"), F.col("_e.part").alias("part")).write.partitionBy("part").text(path)
-    payloads = spark.read.text(path).select(
+    texts = spark.read.text(path).select(
         F.concat(F.lit("part="), F.col("part").cast("string")).alias("file"), "value"
     )
-    return descriptions.merge_descriptions(payloads).select(
+    return descriptions.merge_descriptions(texts).select(
         "slide", "patch", F.sha2("text", 256).alias("text_hash"), "file"
     )
 
@@ -202,6 +206,39 @@ def src_extract_by_key(spark: SparkSession, sf: str) -> DataFrame:
     return files.extract_by_key(documents, wanted, present, "doc_id", "text")
 
 
+@query("src_restore_payloads", """
+WITH wanted AS (SELECT doc_id, quality = 1 AS here FROM labels
+  UNION SELECT doc_id * 5 + 1, false FROM labels WHERE doc_id * 5 + 1 NOT IN (SELECT doc_id FROM labels)),
+judged AS (
+  SELECT w.doc_id, text, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN w.doc_id % 97 = 5 THEN 'duplicate'
+    WHEN here THEN 'already_present' WHEN w.doc_id % 89 = 7 OR coalesce(text, '') = '' THEN 'empty' ELSE 'restored' END AS status
+  FROM wanted w LEFT JOIN documents d USING (doc_id))
+SELECT doc_id || '.jpg' AS key, 'img_' || doc_id AS name, 'pre/x/' || doc_id || '.jpg' AS original, status,
+  CASE status WHEN 'restored' THEN sha256(text) END AS sha256, CASE status WHEN 'restored' THEN strlen(text) END::BIGINT AS size,
+  CASE status WHEN 'restored' THEN text END AS payload FROM judged""")
+def src_restore_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as images in a table with nested names: some twice, some empty, some not there."""
+    i = F.col("doc_id")
+    times = F.when(i % 97 == 5, 2).otherwise(1)
+    image = F.struct(
+        F.concat(F.lit("a/b/"), i.cast("string"), F.lit(".jpg")).alias("path"),
+        F.when(i % 89 != 7, F.col("text")).cast("binary").alias("bytes"),
+    )
+    path, store = scratch_path(spark, "images"), scratch_path(spark, "store")
+    table(spark, sf, "documents").select(image.alias("image"), F.explode(F.sequence(F.lit(1), times))).write.parquet(path)
+    labels = table(spark, sf, "labels")
+    ids = labels.select("doc_id").union(labels.select(i * 5 + 1)).distinct()
+    name = F.concat(F.lit("img_"), i.cast("string")).alias("name")
+    rows = ids.select(name, F.concat(F.lit("pre/x/"), i.cast("string"), F.lit(".jpg")).alias("original"))
+    mapping = payloads.mapping_of(rows, "name", "original", "pre")
+    present = labels.filter("quality = 1").select(name)
+    report = payloads.restore_payloads(
+        spark, [path], mapping, store, present, "image.path", as_base_name=True, strict=False
+    )
+    kept = payloads.stored(spark, store).select("key", F.col("content").cast("string").alias("payload"))
+    return report.join(kept, "key", "left")
+
+
 @query("src_results", sql.using("qa", "predictions", body="""
 SELECT run, count(*) AS results, count(*) FILTER (WHERE status = 'ok') AS ok, 0 AS repeated,
   max(sha256(pred_answer)) AS last_answer, any_value(bad) AS mismatched

@@ -173,11 +173,12 @@ def json_elements(spark: SparkSession, path: str) -> DataFrame:
         joined.select("file", "position", "last", F.expr("array_join(transform(parts, p -> p.text), '')").alias("text"))
     )
     first, final = F.col("position") == 0, F.col("position") == F.col("last")
-    opens = F.col("text").rlike(r"(?s)\A\x{FEFF}?\s*\[")
-    closes = F.col("text").rlike(r"(?s)\]\s*\z")
-    require_empty(whole.filter((first & ~opens) | (final & ~closes)).select("file"), "no JSON array")
-    text = F.when(first, F.regexp_replace("text", r"(?s)\A\x{FEFF}?\s*\[", "")).otherwise(F.col("text"))
-    text = F.when(final, F.regexp_replace(text, r"(?s)\]\s*\z", "")).otherwise(text)
-    elements = whole.select("file", "position", "last", F.trim(F.regexp_replace(text, r"(?s)\A\s+|\s+\z", "")).alias("element"))
-    require_empty(elements.filter("element = '' AND last > 0").select("file"), "JSON array with a comma too many")
-    return elements.filter("element <> ''").drop("last")
+    head, tail = r"(?s)\A\x{FEFF}?\s*\[", r"(?s)\]\s*\z"
+    text = F.when(first, F.regexp_replace("text", head, "")).otherwise(F.col("text"))
+    text = F.when(final, F.regexp_replace(text, tail, "")).otherwise(text)
+    element = F.regexp_replace(text, r"(?s)\A\s+|\s+\z", "")
+    wrong = F.when((first & ~F.col("text").rlike(head)) | (final & ~F.col("text").rlike(tail)), "no JSON array")
+    wrong = wrong.when((element == "") & (F.col("last") > 0), "JSON array with a comma too many")
+    # Checked while it is read: an action of its own would read everything once more.
+    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.lit(": "), "file"))).otherwise(element)
+    return whole.select("file", "position", checked.alias("element")).filter("element <> ''")

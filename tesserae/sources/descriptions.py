@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PARTS = "map<string,map<string,string>>"
 
 
+def _parsed(payload: str) -> Column:
+    """The parts of a payload that is one JSON document and nothing else, or null.
+
+    The parser stops behind the first value. Inside of a list and of an object, what follows it
+    would have to close both at once.
+    """
+    text = F.col(payload)
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{_PARTS}>")
+    inside = F.from_json(F.concat(F.lit('{"v": '), text, F.lit("}")), f"struct<v: {_PARTS}>")
+    return F.when((F.size(listed) == 1) & inside["v"].isNotNull(), listed[0])
+
+
 def description_rows(payloads: DataFrame, payload: str = "value") -> DataFrame:
     """(file, slide, patch, text); unreadable payloads give no rows."""
     return (
-        payloads.select("file", F.explode(F.from_json(F.col(payload), _PARTS)).alias("slide", "_p"))
+        payloads.select("file", F.explode(_parsed(payload)).alias("slide", "_p"))
         .select("file", "slide", F.explode("_p").alias("patch", "text"))
     )
 
@@ -34,4 +46,4 @@ def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unreadable(payloads: DataFrame, payload: str = "value") -> DataFrame:
-    return payloads.filter(F.from_json(F.col(payload), _PARTS).isNull()).select("file")
+    return payloads.filter(_parsed(payload).isNull()).select("file")

@@ -74,8 +74,12 @@ def test_descriptions_later_file_wins(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"s": {"p": "old", "q": "kept"}}))
     (tmp_path / "b.json").write_text(json.dumps({"s": {"p": "new"}, "t": {"p": "x"}}, indent=1))
     (tmp_path / "c.json").write_text('{"s": {"p": "brok')
+    for i, tail in enumerate([" garbage", "]", "}", "] x", "} x", ', {"s": {}}']):
+        (tmp_path / f"d{i}.json").write_text('{"s": {"p": "followed"}}' + tail)
     rows = descriptions.read_descriptions(spark, str(tmp_path)).collect()
     assert {(r.slide, r.patch): r.text for r in rows} == {("s", "p"): "new", ("s", "q"): "kept", ("t", "p"): "x"}
+    texts = spark.read.text(str(tmp_path), wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    assert sorted(r.file for r in descriptions.unreadable(texts).collect()) == ["c.json", *(f"d{i}.json" for i in range(6))]
 
 
 def test_unsafe_or_ambiguous_mappings(spark):
