@@ -12,7 +12,7 @@ from tesserae.functions import prompts
 from tesserae.operators import joins as ops
 from tesserae.operators import sets
 from tesserae.operators.cache import with_cache
-from tesserae.runtime import table
+from tesserae.runtime import scratch_path, table
 
 _DOC = "doc_id"
 
@@ -353,6 +353,70 @@ def jn_cache(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(_DOC, "cache_key", "value", "hit")
 
 
+@query("jn_cache_inventory", """
+WITH keyed AS (
+  SELECT doc_id, sha256(text) AS image_sha256,
+    sha256('{"image_sha256": "' || sha256(text) || '", "mpp": "0.5", "path": "p/' || doc_id || '"}') AS cache_key FROM documents),
+hashed AS (
+  SELECT doc_id, sha256('["r' || k || '", "' || substr(cache_key, 1, 8) || ':' || k || '"]') AS h, length(k::VARCHAR) + 9 AS b
+  FROM keyed, range(3) r(k)),
+parts AS (SELECT doc_id, substr(h, 1, 2) AS p, count(*) AS n, sum(b) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM hashed GROUP BY ALL),
+whole AS (SELECT doc_id, sum(n)::BIGINT AS regions, sum(b)::BIGINT AS value_bytes, sha256(string_agg(h, '' ORDER BY h)) AS content_sha256 FROM parts GROUP BY 1)
+SELECT 'img_' || doc_id AS image_id, cache_key, 'p/' || doc_id AS path, image_sha256, regions, value_bytes, content_sha256,
+  CASE WHEN doc_id % 10 = 0 THEN 'recomputed' WHEN doc_id % 2 = 0 THEN 'hit' ELSE 'computed' END AS state
+FROM keyed JOIN whole USING (doc_id)""")
+def jn_cache_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the images are observed; then some of what was stored is changed, and all are
+    observed: what doesn't match its inventory is made again."""
+    from tesserae.operators.cache import ObservationCache
+
+    name = F.col(_DOC).cast("string")
+    images = table(spark, sf, "documents").select(
+        _DOC, F.concat(F.lit("img_"), name).alias("image_id"), F.concat(F.lit("p/"), name).alias("path"),
+        F.sha2("text", 256).alias("image_sha256"), F.lit(0.5).alias("mpp"),
+    )
+    root, keys = scratch_path(spark, "observations"), ["path", "image_sha256", "mpp"]
+
+    def compute(missing: DataFrame) -> DataFrame:
+        regions = missing.select("cache_key", F.explode(F.array(*[F.lit(str(k)) for k in range(3)])).alias("k"))
+        value = F.concat_ws(":", F.substring("cache_key", 1, 8), "k")
+        return regions.select("cache_key", F.concat(F.lit("r"), "k").alias("region_id"), value.alias("value"))
+
+    cache = ObservationCache(spark, root)
+    cache.observe(images.filter(F.col(_DOC) % 2 == 0), keys, compute)
+    changed = cache.inventory().filter("image_id LIKE '%0'").select("cache_key", F.lit(True).alias("changed"))
+    entries = spark.read.parquet(f"{root}/entries/batch=1").join(changed, "cache_key", "left")
+    odd = F.when(F.col("changed") & (F.col("region_id") == "r1"), F.lit("tampered")).otherwise(F.col("value"))
+    entries.select("cache_key", "region_id", odd.alias("value")).write.parquet(f"{root}/other")
+    spark.read.parquet(f"{root}/other").write.mode("overwrite").parquet(f"{root}/entries/batch=1")
+    states = cache.observe(images, keys, compute)
+    facts = cache.inventory().drop("batch", "image_id")
+    return states.join(facts, "cache_key")
+
+
+@query("set_assemble", """
+WITH parts AS (
+  SELECT doc_id, lang, NULL AS source, 'a' AS origin FROM documents WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id, NULL, source, 'b' FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, lang, source, 'c' FROM documents WHERE doc_id % 5 = 1
+  UNION ALL SELECT doc_id, lang, source, 'c' FROM documents WHERE doc_id % 35 = 1),
+counted AS (SELECT doc_id, origin, count(*) AS n FROM parts GROUP BY ALL),
+repeated AS (
+  SELECT doc_id, string_agg(origin || CASE WHEN n > 1 THEN ' x ' || n ELSE '' END, ', ' ORDER BY origin) AS conflict
+  FROM counted GROUP BY 1 HAVING sum(n) > 1)
+SELECT p.doc_id, lang, source, origin, conflict FROM parts p LEFT JOIN repeated USING (doc_id)""")
+def set_assemble(spark: SparkSession, sf: str) -> DataFrame:
+    """Three parts with different columns and common documents; one part has some rows twice."""
+    d, i = table(spark, sf, "documents").select(_DOC, "lang", "source"), F.col(_DOC)
+    third = d.filter(i % 5 == 1)
+    parts = {
+        "a": d.filter(i % 2 == 0).drop("source"),
+        "b": d.filter(i % 3 == 0).drop("lang"),
+        "c": third.unionByName(third.filter(i % 35 == 1)),
+    }
+    return sets.assemble(parts, [_DOC]).withColumn("conflict", F.array_join("conflict", ", "))
+
+
 @query("set_diff", """
 SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id + 3 FROM labels)
 UNION ALL SELECT doc_id + 3, 'right' FROM labels WHERE doc_id + 3 NOT IN (SELECT doc_id FROM documents)""")

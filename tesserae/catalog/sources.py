@@ -307,6 +307,27 @@ def src_manifest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_SHARD_TREE = """d AS (SELECT doc_id % 7 AS shard, sha256({row}) AS h FROM qa),
+l1 AS (SELECT shard, substr(h, 1, 5) AS p, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM d GROUP BY ALL),
+l2 AS (SELECT shard, substr(p, 1, 2) AS q, sum(n) AS n, sha256(string_agg(h, '' ORDER BY p)) AS h FROM l1 GROUP BY ALL),
+roots AS (SELECT shard, sum(n)::BIGINT AS rows, sha256(string_agg(h, '' ORDER BY q)) AS digest FROM l2 GROUP BY shard),
+p1 AS (SELECT substr(h, 1, 5) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM d GROUP BY 1),
+p2 AS (SELECT substr(p, 1, 2) AS q, sha256(string_agg(h, '' ORDER BY p)) AS h FROM p1 GROUP BY 1),
+parent AS (SELECT sha256(string_agg(h, '' ORDER BY q)) AS parent_digest FROM p2),
+total AS (SELECT count(*) AS shard_count, sha256(string_agg(digest, '' ORDER BY shard)) AS combined FROM roots)"""
+
+
+@query("src_shard_manifests", sql.using("qa", _SHARD_TREE.format(row=_row_json()), body="""
+SELECT shard, shard_count, rows, digest, parent_digest, combined FROM roots, parent, total"""))
+def src_shard_manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven shards of a written manifest, each tied to it by its header."""
+    parent, path = scratch_path(spark, "manifest"), scratch_path(spark, "shards")
+    rows = _digest_rows(spark, sf)
+    manifest.write_manifest(rows, parent, purpose="full")
+    number = F.regexp_extract("sample_id", "[0-9]+$", 0).cast("bigint")
+    return manifest.write_shard_manifests(rows.withColumn("shard", number % 7), path, parent)
+
+
 @query("src_hash_files", """
 SELECT 'f/' || doc_id AS path, CASE WHEN doc_id % 7 <> 0 THEN strlen(text)::BIGINT END AS size,
   CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS sha256, CASE WHEN doc_id % 7 <> 0 THEN md5(text) END AS md5,

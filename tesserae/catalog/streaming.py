@@ -43,9 +43,9 @@ def st_upsert(spark: SparkSession, sf: str) -> DataFrame:
     path, out = _arrivals(spark, sf), scratch_path(spark, "upserts")
     stream = spark.readStream.schema(_SCHEMA).option("maxFilesPerTrigger", 1).json(path)
     # Batches come in any order, so the event number decides and not the arrival.
+    keys = ["case_id", "stage"]
     jobs.stream_upsert(
         stream.select("case_id", "stage", "seconds", "event_id"), out,
-        scratch_path(spark, "state"), ["case_id", "stage"], "event_id",
+        scratch_path(spark, "state"), keys, "event_id", buckets=16, late_wins=False,
     ).awaitTermination()
-    changes = spark.read.parquet(out).drop("version")
-    return jobs.newest_rows(changes, ["case_id", "stage"], ["event_id"])
+    return jobs.read_current(spark, out, keys, "event_id", late_wins=False)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.runtime import require_empty
+
 
 def find_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).filter("copies > 1")
@@ -61,3 +63,32 @@ def merge_report(previous: DataFrame, current: DataFrame, present: DataFrame) ->
         "name", F.lit("already_present").alias("status"), F.lit(None).cast("string").alias("detail")
     )
     return restored.unionByName(already)
+
+
+def assemble(parts: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """The rows of all parts by column name, with the part they come from and who else has their key.
+
+    ``origin`` names the part. ``conflict`` is null, or the sorted origins of a key that occurs more than
+    once, with `` x n`` where one part has it n times. Columns that a part lacks are null.
+    """
+    rows = None
+    for name, part in parts.items():
+        named = part.withColumn("origin", F.lit(name))
+        rows = named if rows is None else rows.unionByName(named, allowMissingColumns=True)
+    counted = rows.groupBy(*keys, "origin").agg(F.count("*").alias("_n"))
+    shown = F.concat("origin", F.when(F.col("_n") > 1, F.concat(F.lit(" x "), F.col("_n").cast("string"))).otherwise(""))
+    # At most one entry per part and key.
+    repeated = counted.groupBy(*keys).agg(F.sum("_n").alias("_rows"), F.array_sort(F.collect_list(shown)).alias("conflict"))
+    repeated = repeated.filter("_rows > 1").drop("_rows")
+    same = F.lit(True)
+    renamed = repeated.select(*[F.col(k).alias(f"_{k}") for k in keys], "conflict")
+    for k in keys:
+        same = same & rows[k].eqNullSafe(renamed[f"_{k}"])
+    return rows.join(renamed, same, "left").drop(*[f"_{k}" for k in keys])
+
+
+def assembled(parts: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """The same, refusing a key that occurs more than once."""
+    rows = assemble(parts, keys)
+    require_empty(rows.filter("conflict IS NOT NULL").select(*keys, "conflict"), "repeated key")
+    return rows.drop("conflict")

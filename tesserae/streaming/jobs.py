@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tesserae.runtime import require_empty
+from tesserae.streaming.store import BUCKETS, KeyedStore
 
 
 def result_stream(spark: SparkSession, directory: str, schema: str) -> DataFrame:
@@ -46,36 +46,22 @@ def stream_profile(
 
 
 def read_latest(spark: SparkSession, table: str) -> DataFrame:
-    """The newest version of a table whose every version is complete in itself."""
-    versions = spark.read.parquet(table)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).drop("version")
+    """The newest version of a table whose every version is complete in itself.
 
-
-def newest_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the last by ``order``.
-
-    A plain aggregation: a key that arrives very often is reduced before the shuffle.
+    Folder names tell which one that is; no other version is read.
     """
-    values = [column for column in rows.columns if column not in keys]
-    newest = F.max_by(F.struct(*values), F.struct(*order))
-    return rows.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*")
+    place = spark._jvm.org.apache.hadoop.fs.Path(table)
+    listed = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    names = [status.getPath().getName() for status in listed]
+    newest = max(int(name.split("=")[1]) for name in names if name.startswith("version="))
+    return spark.read.parquet(f"{table}/version={newest}")
 
 
 def read_current(
-    spark: SparkSession, table: str, keys: Sequence[str], order: str
+    spark: SparkSession, table: str, keys: Sequence[str], order: str, late_wins: bool = True
 ) -> DataFrame:
     """The table after all upserts: the newest row per key, later batches first."""
-    changes = spark.read.parquet(table)
-    return newest_rows(changes, keys, ["version", order]).drop("version")
-
-
-def conflicting_payloads(
-    old: DataFrame, batch: DataFrame, keys: Sequence[str], payload: str
-) -> DataFrame:
-    """Keys that already have another payload; an error where payloads are receipts."""
-    before = old.select(*keys, F.col(payload).alias("_before")).distinct()
-    return batch.join(before, list(keys)).filter(~F.col(payload).eqNullSafe(F.col("_before")))
+    return KeyedStore(spark, table, keys, order, late_wins=late_wins).current()
 
 
 def stream_upsert(
@@ -85,28 +71,18 @@ def stream_upsert(
     keys: Sequence[str],
     order: str,
     receipt: str | None = None,
+    buckets: int = BUCKETS,
+    late_wins: bool = True,
 ) -> StreamingQuery:
-    """Record the newest row per key of every batch in ``table``.
+    """Merge every batch into the keyed table: batch ``n`` is its version ``n``.
 
-    Batch ``n`` writes ``version=n`` and nothing else, so its cost does not grow with the
-    table and a batch that runs again after a failure writes the same version once more.
+    A batch's cost does not grow with the table, and a batch that runs again after a failure
+    writes the same version once more.
     """
 
     def record(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if receipt is not None:
-            if batch_id:
-                known = spark.read.parquet(table).filter(F.col("version") < batch_id)
-                require_empty(
-                    conflicting_payloads(known, batch, keys, receipt), "changed receipt"
-                )
-            within = batch.groupBy(*keys).agg(
-                F.min(receipt).alias("_low"), F.max(receipt).alias("_high")
-            )
-            require_empty(within.filter("_low <> _high"), "changed receipt")
-        newest_rows(batch, keys, [order]).write.mode("overwrite").parquet(
-            f"{table}/version={batch_id}"
-        )
+        store = KeyedStore(batch.sparkSession, table, keys, order, buckets, late_wins=late_wins)
+        store.upsert(batch, batch_id, receipt)
 
     return (
         arrivals.writeStream.foreachBatch(record)
