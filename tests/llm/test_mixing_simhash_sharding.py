@@ -184,6 +184,22 @@ def test_large_buckets_lose_no_link(spark):
     assert kept_ids(spark, texts, bucket_limit=2048) == want
 
 
+def test_texts_around_the_limit_are_all_compared(spark):
+    """Many candidates that are no links, so that groups hand on more in several rounds."""
+    rng = random.Random(37)
+    words = [f"w{rng.randrange(4000)}" for _ in range(120)]
+    texts = [edited(rng, words, rng.choice([1, 2, 2, 3, 3])) for _ in range(60)]
+    near = [shared_shingles.jaccard(a, b, 5) for i, a in enumerate(texts) for b in texts[:i]]
+    assert sum(0.7 < s < 0.8 for s in near) > 300
+    assert kept_ids(spark, texts) == kept_by_brute_force(texts)
+    apart = []
+    for i in range(30):
+        changed = list(words)
+        changed[7 * (i % 15) : 7 * (i % 15) + 2] = [f"x{i}", f"y{i}"]
+        apart.append(" ".join(changed + [f"tail{i}{j}" for j in range(10)]))
+    assert kept_ids(spark, apart) == kept_by_brute_force(apart)
+
+
 def water(sizes, weights=(5, 2, 1), budget=1.5, cap=2.0):
     """Targets by repeated resharing of what goes beyond the caps."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
