@@ -38,9 +38,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on shared storage so that a lost executor cannot change it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Materialise ``df`` on shared storage so that a lost executor cannot change it.
+
+    This is a written table and not a checkpoint, because a checkpoint keeps the size that was
+    estimated for its plan. Estimates of joins are products, so over rounds that read each other's
+    checkpoints they grow into numbers that planning spends minutes on; a file has its true size.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "stable")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def require_empty(bad: DataFrame, message: str) -> None:
