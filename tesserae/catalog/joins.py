@@ -254,6 +254,24 @@ def jn_audit(spark: SparkSession, sf: str) -> DataFrame:
     return ops.audit_coverage(_annotations(spark, sf), fx.files(spark, sf))
 
 
+@query("jn_audit_splits", sql.using("qa", _ANNOTATIONS, body="""
+SELECT source, split, count(*) AS questions FROM annotations GROUP BY ROLLUP (source, split)"""))
+def jn_audit_splits(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.split_counts(_annotations(spark, sf))
+
+
+@query("jn_audit_totals", sql.using("qa", "files", _ANNOTATIONS, body="""
+SELECT sum(q)::BIGINT AS questions, sum(t)::BIGINT AS test_questions, sum(a)::BIGINT AS all_images, sum(p)::BIGINT AS all_images_present,
+  sum(i)::BIGINT AS test_images, sum(ip)::BIGINT AS test_images_present, sum(a) = sum(p) AS complete
+FROM (SELECT source, count(*) AS a, count(*) FILTER (WHERE present) AS p, count(*) FILTER (WHERE in_test) AS i,
+        count(*) FILTER (WHERE in_test AND present) AS ip
+      FROM (SELECT source, img, bool_or(split <> 'val') AS in_test, img IN (SELECT img FROM files WHERE size > 0) AS present
+            FROM annotations GROUP BY source, img) GROUP BY source)
+JOIN (SELECT source, count(*) AS q, count(*) FILTER (WHERE split <> 'val') AS t FROM annotations GROUP BY source) USING (source)"""))
+def jn_audit_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.audit_totals(ops.audit_coverage(_annotations(spark, sf), fx.files(spark, sf)))
+
+
 @query("jn_audit_missing", sql.using("qa", "files", _ANNOTATIONS, body="""
 SELECT source, img, arg_max(source_img, position) AS source_img, bool_or(split <> 'val') AS in_test
 FROM annotations WHERE img NOT IN (SELECT img FROM files WHERE size > 0) GROUP BY source, img"""))

@@ -283,6 +283,24 @@ def image_presence(annotations: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def split_counts(annotations: DataFrame) -> DataFrame:
+    """Questions per (source, split), per source (null split) and overall (both null).
+
+    The fine counts are made first; the others are sums of them. A row whose own source or split
+    is null is counted under the empty name.
+    """
+    named = [F.coalesce(name, F.lit("")).alias(name) for name in ("source", "split")]
+    fine = annotations.groupBy(*named).agg(F.count("*").alias("_n"))
+    return fine.rollup("source", "split").agg(F.sum("_n").alias("questions"))
+
+
+def audit_totals(coverage: DataFrame) -> DataFrame:
+    """One row of the sums over all sources; an image of two sources counts in both."""
+    names = [name for name in coverage.columns if name != "source"]
+    sums = coverage.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names])
+    return sums.withColumn("complete", F.col("all_images") == F.col("all_images_present"))
+
+
 def audit_coverage(annotations: DataFrame, files: DataFrame) -> DataFrame:
     """Per source: images, present ones, the test subset and questions by split."""
     images = image_presence(annotations, files).groupBy("source").agg(
