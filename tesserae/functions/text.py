@@ -79,7 +79,8 @@ def normalize_text(text: Column) -> Column:
         once = F.when(t.rlike(_letter_class(_SINGLE)), single(t)).otherwise(t)
         return F.when(t.rlike(_letter_class(_LONGER)), longer(once)).otherwise(once)
 
-    return F.when(low.rlike(_BEYOND_LATIN), let(low, folded)).otherwise(low)
+    # Once per row: the long expression stands in the condition and in both results.
+    return let(low, lambda t: F.when(t.rlike(_BEYOND_LATIN), folded(t)).otherwise(t))
 
 
 def is_blank(text: Column) -> Column:
