@@ -19,7 +19,7 @@ def test_slide_csv_ignores_predictions_and_bom(spark, tmp_path):
 
 def nested(**extra):
     row = {"No": 1, "img": "a.jpg", "question": "q?", "options": ["A) x", "B) y"], "answer": "B) y"}
-    return {"S": {"test": [row, {**row, "No": 2, "options": []}], "test_tiny": [row], **extra}}
+    return {"S": {"test": [row, {**row, "No": 2, "options": []}], "test_tiny": [{**row, "question": "another?"}], **extra}}
 
 
 def test_nested_json(spark, tmp_path):
