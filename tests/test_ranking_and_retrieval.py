@@ -129,3 +129,28 @@ def test_few_more_than_k_rows_leave_the_blocks(spark):
     kept = retrieval._in_blocks(above, r, None, blocks, retrieval._score_block, retrieval._CANDIDATES)
     sizes = [row["count"] for row in kept.groupBy("query_id").count().collect()]
     assert len(sizes) == 5 and all(40 <= n <= 48 for n in sizes)
+
+
+def test_picks_of_a_whole_image_are_not_ranked_again(spark, monkeypatch):
+    """An image of more than 4,096 regions is still finished in one task."""
+    def refuse(*_):
+        raise AssertionError("picks were shuffled")
+
+    monkeypatch.setattr(retrieval, "rank_in_groups", refuse)
+    turn = (F.col("id") * 7919 % 5000) / 5000
+    r = spark.range(5000).select(
+        F.lit("im").alias("image_id"),
+        F.lpad(F.col("id").cast("string"), 5, "0").alias("region_id"),
+        F.array(F.cos(turn), F.sin(turn)).cast("array<float>").alias("vector"),
+    )
+    q = spark.createDataFrame([(1, "im", [1.0, 0.0], 600)], "query_id long, image_id string, vector array<float>, k long")
+    found = [x.region_id for x in retrieve(q, r).orderBy("rk").collect()]
+    nearest = sorted(range(5000), key=lambda i: (i * 7919 % 5000, i))[:600]
+    assert found == [f"{i:05}" for i in nearest]
+
+
+def test_slices_give_the_same_picks(spark, monkeypatch):
+    regions, asked = world(3, 4, [40, 3, 9, 1], 25, copies=True)
+    r, q = frames(spark, regions, asked)
+    monkeypatch.setattr(retrieval, "CELLS", 90)
+    assert {(x.query_id, x.region_id, x.rk) for x in retrieve(q, r).collect()} == brute(regions, asked)
