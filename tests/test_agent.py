@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import prompts
+from tesserae.plans import agent
 from tesserae.plans.agent import AgentParams, check_inputs, check_tables, run_agent
 from tesserae.plans.backend import ModelBackend
 
@@ -171,3 +172,33 @@ def test_model_backend(spark):
         assert result.stop_reason == "zoom_completed"
     events = run.trajectory.collect()
     assert len(events) == 2 and all(json.loads(e.decision)["zoom_level"] == 10 for e in events)
+
+
+def test_regions_of_many_questions_are_encoded_once(spark):
+    class Counting(Rules):
+        def encode_regions(self, children):
+            self.made = children
+            return super().encode_regions(children)
+
+    backend = Counting(zoom=F.lit(True))
+    run = run_agent(questions(spark, 1, 2, 3, 4), regions(spark, 20), backend)
+    # All four look at the same two regions of 4 x 4 children each.
+    assert backend.made.count() == 32
+    events = run.trajectory.collect()
+    assert [(e.zoom_candidates, e.zoom_region) for e in events] == [(32, "sq00/z20.0/3_3")] * 4
+
+
+def test_rounds_store_no_row_per_question_and_region(spark, monkeypatch):
+    sizes = []
+
+    def counted(df, keep=agent.stable):
+        kept = keep(df)
+        sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(agent, "stable", counted)
+    n = 200
+    run = run_agent(questions(spark, *range(10, 40)), regions(spark, n), Rules())
+    assert run.evidence.count() == 30 * (20 + 4 * 10)
+    # The regions, or five described ones per question.
+    assert max(sizes) <= max(n, 30 * 5)
