@@ -40,7 +40,11 @@ SLACK = 1.5
 SHORT = 100
 SHARPNESS = 8.0
 UNKNOWN = "und"
+#: Words of a language that are counted at once, words that are scored at once, and new ones of
+#: these that meet the models at once: each of their symbols takes some hundred bytes meanwhile.
+COUNTED_AT_ONCE = 20_000
 WORDS_AT_ONCE = 100_000
+NEW_AT_ONCE = 4_000
 CACHED_WORDS = 150_000
 
 #: Letters only; a longer run is read in pieces, so that no piece is unbounded.
@@ -113,7 +117,7 @@ def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             mine = held.setdefault(lang, [])
             mine.extend(letter_runs(text))
-            if len(mine) > WORDS_AT_ONCE:
+            if len(mine) > COUNTED_AT_ONCE:
                 yield from flush(lang)
     for lang in list(held):
         yield from flush(lang)
@@ -232,9 +236,9 @@ class Scorer:
         new = list({w for group in groups for w in group if w not in self.known})
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            costs, sizes = self.models.word_costs(new)
-            self.costs = np.concatenate([self.costs, costs])
-            self.sizes = np.concatenate([self.sizes, sizes])
+            parts = [self.models.word_costs(new[i : i + NEW_AT_ONCE]) for i in range(0, len(new), NEW_AT_ONCE)]
+            self.costs = np.concatenate([self.costs, *(costs for costs, _ in parts)])
+            self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in parts)])
         cost = np.zeros((len(groups), len(self.models.languages)))
         size = np.zeros(len(groups), dtype=np.int64)
         for i, group in enumerate(groups):

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,22 @@ def test_parting_by_hand():
     scores, good = np.array([-5.0, -4, -1, 0, 2]), np.array([False, False, True, True, True])
     assert importance.parting(scores, good) == -2.5
     assert importance.parting(scores, np.ones(5, dtype=bool)) == 0
+
+
+def test_scoring_holds_little_beside_its_models():
+    import tracemalloc
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 11))) for _ in range(60_000)]
+    texts = [" ".join(rng.choices(words, k=200)) for _ in range(600)]
+    counts = pd.concat(langid.count_grams([pd.DataFrame({"lang": "en", "text": texts[:30]})]))
+    models = langid.fit(counts)
+    tracemalloc.start()
+    langid.Scorer(models).entropies(texts)
+    scored = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    for rows in langid.count_grams([pd.DataFrame({"lang": "en", "text": texts})]):
+        del rows
+    counted = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scored < 24e6 and counted < 48e6
