@@ -5,7 +5,8 @@ range. What a comma means depends on everything before it, but a range only need
 things of that: whether it starts inside a string, and how deep. Each range therefore first tells,
 for both cases, how it ends and by how much it goes deeper; a running composition over the few ranges
 of a file, in order, gives the true start of each. A second pass cuts at the commas of depth one. An
-element over several ranges is put together from its parts. Positions count from 0.
+element over several ranges is put together from its parts. A file of one range starts outside at depth
+zero, so it is read by the second pass only. Positions count from 0.
 """
 
 from __future__ import annotations
@@ -38,10 +39,11 @@ def ends(piece: str) -> tuple[tuple[bool, int], tuple[bool, int]]:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, piece) in the order of each range."""
+    """(file, block, piece, whether the range is the whole file) in the order of each range."""
     rows = spark.read.text(path, lineSep=",")
     return rows.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value",
+        (F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")).alias("whole"),
     )
 
 
@@ -111,35 +113,42 @@ class _Range:
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of elements: (file, block, n, open, text), where ``n`` counts the range's commas of
-    depth one before the part. The first and the last part of a range are ``open``."""
+    """Parts of elements: (file, block, n, open, text, broken), where ``n`` counts the range's commas
+    of depth one before the part. The first and the last part of a range are ``open``; the last one of
+    a whole file is ``broken`` if the array does not end there."""
     ranges: dict[tuple[str, int], _Range] = {}
+    whole: set[tuple[str, int]] = set()
     rows: list[tuple] = []
     size = 0
 
     def made() -> pa.RecordBatch:
-        names = ["file", "block", "n", "open", "text"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+        names = ["file", "block", "n", "open", "text", "broken"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.bool_()]
         columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
         rows.clear()
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     for batch in batches:
-        states = zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True)
-        starts = {(file, block): (inside, depth) for file, block, inside, depth in states}
+        states = zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), strict=True)
+        starts = {}
+        for file, block, inside, depth, alone in states:
+            starts[file, block] = (inside, depth)
+            if alone:
+                whole.add((file, block))
         for file, block, pieces in _runs([batch]):
             if (file, block) not in ranges:
                 ranges[file, block] = _Range(block, *starts[file, block])
             own = ranges[file, block]
             for piece in pieces:
                 if (done := own.add(piece)) is not None:
-                    rows.append((file, block, done[0], done[0] == 0, done[1]))
+                    rows.append((file, block, done[0], done[0] == 0, done[1], False))
                     size += len(done[1])
             if size > CHARS_AT_ONCE:
                 yield made()
                 size = 0
     for (file, block), own in ranges.items():
-        rows.append((file, block, own.n, True, ",".join(own.parts)))
+        broken = (file, block) in whole and (own.inside or own.depth != 0)
+        rows.append((file, block, own.n, True, ",".join(own.parts), broken))
     yield made()
 
 
@@ -151,13 +160,18 @@ def json_elements(spark: SparkSession, path: str) -> DataFrame:
     """
     pieces = _pieces(spark, path)
     summary = "file string, block bigint, out_ends boolean, out_depth bigint, in_ends boolean, in_depth bigint"
-    ranges = pieces.mapInArrow(_summaries, summary)
+    ranges = pieces.filter("NOT whole").select("file", "block", "value").mapInArrow(_summaries, summary)
     states = ranges.groupBy("file").applyInPandas(_composed, "file string, block bigint, inside boolean, depth bigint")
     states = stable(states)
     require_empty(states.filter("block IS NULL AND (inside OR depth <> 0)"), "JSON array without its end")
     # A row per range: as many as tasks that read the files.
-    known = pieces.join(F.broadcast(states.filter("block IS NOT NULL")), ["file", "block"])
-    parts = stable(known.mapInArrow(_elements, "file string, block bigint, n bigint, open boolean, text string"))
+    known = pieces.join(F.broadcast(states.filter("block IS NOT NULL")), ["file", "block"], "left").select(
+        "file", "block", "value",
+        F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce("depth", F.lit(0)).alias("depth"), "whole",
+    )
+    found = "file string, block bigint, n bigint, open boolean, text string, broken boolean"
+    parts = stable(known.mapInArrow(_elements, found))
+    require_empty(parts.filter("broken").select("file"), "JSON array without its end")
     commas = parts.groupBy("file", "block").agg(F.max("n").alias("commas"))
     in_order = Window.partitionBy("file").orderBy("block")
     before = F.sum("commas").over(in_order.rowsBetween(Window.unboundedPreceding, -1))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
+from tesserae.sources import arrays
 from tesserae.runtime import scratch_path
 from tesserae.sources import annotations, files, payloads
 from tesserae.sources.arrays import ends, json_elements
@@ -159,3 +160,15 @@ def test_links_by_the_index_of_the_markup(spark):
     found = {(r.page, r.position): (r.url, r.status, r.exposed) for r in files.pick_indexed(links, wanted, "page").collect()}
     assert found == {(1, 1): ("u0", "found", 2), (1, 2): (None, "missing", 2), (1, 4): ("u3", "found", 2),
                      (2, 1): (None, "conflict", 2), (3, 1): (None, "missing", 0), (9, 1): (None, "missing", 0)}
+
+
+def test_files_of_one_range_are_read_once(spark, tmp_path, monkeypatch):
+    def refuse(batches):
+        raise AssertionError("read for its start")
+
+    monkeypatch.setattr(arrays, "_summaries", lambda batches: (refuse(b) for b in batches))
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text(json.dumps([{"Id": f"{i}, {j}"} for j in range(4)]))
+    rows = json_elements(spark, str(tmp_path)).collect()
+    found = {(r.file[-6:], r.position, r.element) for r in rows}
+    assert found == {(f"{i}.json", j, json.dumps({"Id": f"{i}, {j}"})) for i in range(3) for j in range(4)}
