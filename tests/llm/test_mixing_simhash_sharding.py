@@ -200,6 +200,26 @@ def test_texts_around_the_limit_are_all_compared(spark):
     assert kept_ids(spark, apart) == kept_by_brute_force(apart)
 
 
+def test_a_pair_is_handed_on_by_one_group_only(spark, monkeypatch):
+    """Texts share up to 20 shingles of their prefixes, so most pairs meet in many groups."""
+    rng = random.Random(41)
+    words = [f"w{rng.randrange(4000)}" for _ in range(100)]
+    texts = [edited(rng, words, rng.choice([1, 2, 3])) for _ in range(60)]
+    handed = []
+    real = shared_shingles._candidates
+
+    def counted(*arguments):
+        found = real(*arguments)
+        handed.extend([tuple(r) for r in found.filter("a IS NOT NULL").select("a", "b").collect()] + [None])
+        return found
+
+    monkeypatch.setattr(shared_shingles, "_candidates", counted)
+    assert kept_ids(spark, texts, bucket_limit=16) == kept_by_brute_force(texts)
+    first = handed[: handed.index(None)]
+    assert len(first) > 40
+    assert len(first) == len(set(first))
+
+
 def water(sizes, weights=(5, 2, 1), budget=1.5, cap=2.0):
     """Targets by repeated resharing of what goes beyond the caps."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
