@@ -1,17 +1,17 @@
 """Language-model scores by a weighted backoff automaton.
 
 Events are the training words, the end token and one token for all unknown words. States are
-the ``CONTEXT_WORDS`` most frequent words and the start of a document; after any other word the
-automaton is in the root. A state has one arc for each frequent word (or the end) that followed
-it in training, with the discounted probability, and a failure arc to the root whose weight is
-the mass left over. The root has an arc for every training word, discounted too; the mass left
-there belongs to unknown words. So the probabilities of all events after any state add up to
-one. One traversal from left to right carries the state and adds log10 probabilities.
-
-Counts cover every training document: words by one distributed aggregation, pairs of frequent
-words in full. The word table is never held whole: texts are dealt into blocks of bounded size,
-and each block gets the counts of its own words by a join. What is broadcast, the arcs between
-frequent words, is bounded by ``CONTEXT_WORDS``; where no arc leads, the failure arc stands in.
+the training words and the start of a document; after an unknown word the automaton is in the
+root. A state has one arc for each word (or the end) that followed it in training, with the
+discounted probability, and a failure arc to the root whose weight is the mass left over. The
+root has an arc for every training word, discounted too; the mass left there belongs to unknown
+words. So the probabilities of all events after any state add up to one. One traversal from left
+to right carries the state and adds log10 probabilities.
+
+Counts cover every training document, of all words and of all pairs of neighbours, by one
+distributed aggregation. The tables are never held whole: texts are dealt into blocks of bounded
+size, and each block gets the counts of its own words and pairs by a join. A pair is written as
+its words with a space between; the start and the end of a document are empty words.
 
 Null text counts as empty: its only token is the end. Ids may be null or repeat; repeated rows
 score alike. Without training documents every token is unknown, with probability one. Other
@@ -20,138 +20,169 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import word_runs, written
 
-CONTEXT_WORDS = 512
-BLOCK_BYTES = 8 << 20
-WORDS_AT_ONCE = 200_000
+BLOCK_BYTES = 4 << 20
+#: Tokens that a task holds before their words and pairs are counted and handed on.
+TOKENS_AT_ONCE = 1_000_000
 #: Taken off each pair count; the discount of the root is estimated from its counts.
 DISCOUNT = 0.75
 #: Counts that a state must gather before its own arcs weigh as much as the root's.
 STRENGTH = 100
 
 
-def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word, count): words of each block with their count in training documents."""
-    counts: dict[int, Counter] = {}
+class _Counts:
+    """Words and pairs of one block; number 0 is the empty word, for both ends of a document."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {b"": 0}
+        self.paths: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        self.tokens = 0
+
+    def add(self, text: str, held_out: bool) -> None:
+        number, path = self.number, [0]
+        for run in chain(word_runs(text), [[b""]]):
+            path += [number.setdefault(w, len(number)) for w in run]
+            self.paths[held_out].append(np.array(path, dtype=np.int64))
+            self.tokens += len(run)
+            path = path[-1:]
+
+    def grams(self) -> tuple[pa.Array, np.ndarray]:
+        """All words and pairs of the block with their counts in training documents."""
+        k = len(self.number)
+        words, pairs, weights = [], [], []
+        for held_out, paths in self.paths.items():
+            for path in paths:
+                words.append(path[1:])
+                pairs.append(path[:-1] * k + path[1:])
+                weights.append(np.full(len(path) - 1, not held_out))
+        weight = np.concatenate(weights)
+        counts = np.bincount(np.concatenate(words), weight, minlength=k).astype(np.int64)
+        codes, at = np.unique(np.concatenate(pairs), return_inverse=True)
+        names = pa.array(list(self.number), pa.binary())
+        left, right = names.take(pa.array(codes // k)), names.take(pa.array(codes % k))
+        joined = pc.binary_join_element_wise(left, right, pa.scalar(b" ", pa.binary()))
+        found = np.bincount(at, weight, minlength=len(codes)).astype(np.int64)
+        return pa.concat_arrays([names[1:], joined]), np.concatenate([counts[1:], found])
+
+
+def block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, gram, count): words and pairs of each block with their count in training
+    documents. A block may leave in several parts."""
+    blocks: dict[int, _Counts] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for block, mine in counts.items():
+        for block, mine in blocks.items():
+            grams, counts = mine.grams()
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * len(mine), pa.int64()),
-                    pa.array(list(mine), pa.binary()),
-                    pa.array(list(mine.values()), pa.int64()),
-                ],
-                names=["block", "word", "count"],
+                [pa.array(np.full(len(grams), block, dtype=np.int64)), grams, pa.array(counts)],
+                names=["block", "gram", "count"],
             )
-        counts.clear()
+        blocks.clear()
 
     for batch in batches:
         columns = batch.to_pydict()
         for block, held_out, text in zip(columns["block"], columns["held_out"], columns["text"], strict=True):
-            mine = counts.setdefault(block, Counter())
-            for run in word_runs(text):
-                if held_out:
-                    for word in run:
-                        mine.setdefault(word, 0)
-                else:
-                    mine.update(run)
-                if sum(map(len, counts.values())) > WORDS_AT_ONCE:
-                    yield from flush()
-                    mine = counts.setdefault(block, Counter())
+            blocks.setdefault(block, _Counts()).add(text, held_out)
+            if sum(b.tokens for b in blocks.values()) > TOKENS_AT_ONCE:
+                yield from flush()
     yield from flush()
 
 
 class Automaton:
-    """Frequent words as states over the root.
+    """Words as states over the root.
 
     Row k is the start of a document and row k + 1 the root; column k is the end token and
-    column k + 1 stands for all words that no arc of a state leads to.
+    column k + 1 stands for all unknown words. ``pairs`` is a table of counts, or the cells of
+    such a table (``row * (k + 2) + column``, ascending) with their counts; ``kinds`` tells
+    how many arcs a state has in all, if only some of them are given.
     """
 
-    def __init__(self, frequent: list[bytes], context: np.ndarray, pairs: np.ndarray) -> None:
-        k = len(frequent)
-        self.number = {w: i for i, w in enumerate(frequent)}
-        self.alpha = np.zeros((k + 2, k + 2))
-        self.alpha[: k + 1, : k + 1] = np.maximum(pairs - DISCOUNT, 0) / (context + STRENGTH)[:, None]
-        self.gamma = 1.0 - self.alpha.sum(axis=1)
+    def __init__(self, words: list[bytes], context: np.ndarray, pairs, kinds: np.ndarray | None = None) -> None:
+        k = len(words)
+        self.width = k + 2
+        self.number = {w: i for i, w in enumerate(words)}
+        if isinstance(pairs, np.ndarray):
+            row, column = np.nonzero(pairs)
+            pairs = row * self.width + column, pairs[row, column]
+        self.cells, counts = pairs
+        row = self.cells // self.width
+        self.arcs = np.maximum(counts - DISCOUNT, 0) / (context + STRENGTH)[row]
+        self.gamma = np.ones(k + 2)
+        if kinds is None:
+            self.gamma -= np.bincount(row, self.arcs, minlength=k + 2)
+        else:
+            # The counts of all arcs of a state add up to its own.
+            self.gamma[: k + 1] -= (context - DISCOUNT * kinds) / (context + STRENGTH)
 
     def log_probabilities(self, states: np.ndarray, start: int, log_root: np.ndarray) -> np.ndarray:
         """log10 probability of each token, given the state that each leads to."""
         came = np.concatenate([[start], states[:-1]])
-        alpha, gamma = self.alpha[came, states], self.gamma[came]
+        alpha, gamma = np.zeros(len(states)), self.gamma[came]
+        if len(self.cells):
+            cell = came * self.width + states
+            at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+            alpha = np.where(self.cells[at] == cell, self.arcs[at], 0)
         with np.errstate(divide="ignore"):
             failed = np.log10(gamma) + log_root
             return np.where(alpha > 0, np.log10(alpha + gamma * 10.0**log_root), failed)
 
 
-def frequent_pairs(frequent: list[bytes]):
-    """Counts of neighbouring frequent words, per part, as (cell, count) with the cells of a
-    square table: row k is the start of a document, column k its end."""
-    k = len(frequent)
-    number = {w: i for i, w in enumerate(frequent)}
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((k + 2) * (k + 2), dtype=np.int64)
-        path: list[int] = [k]
-
-        def add() -> None:
-            ids = np.array(path, dtype=np.int64)
-            cell, count = np.unique(ids[:-1] * (k + 2) + ids[1:], return_counts=True)
-            table[cell] += count
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for run in word_runs(text):
-                    path.extend(number.get(w, k + 1) for w in run)
-                    if len(path) > WORDS_AT_ONCE:
-                        add()
-                        path[:] = path[-1:]
-                # The end of a document is the start of the next.
-                path.append(k)
-        add()
-        cell = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(table[cell])], names=["cell", "count"])
-
-    return scan
-
-
-def score_block(automaton: Automaton, tokens: int, kinds: int, ends: int, discount: float):
-    """Scores the documents of one block, given the counts of its words."""
-    k = len(automaton.number)
+def block_automaton(table: pa.Table, ends: int, first_kinds: int) -> tuple[Automaton, np.ndarray]:
+    """The arcs and states that a block can reach, from (gram, count, kinds), and the counts of its
+    words, of the end and of an unknown word."""
+    grams, counts, kinds = (table.column(c).to_pylist() for c in ("gram", "count", "kinds"))
+    found: dict[bytes, tuple[int, int]] = {}
+    pairs: dict[bytes, int] = {}
+    for gram, count, kind in zip(grams, counts, kinds, strict=True):
+        if b" " in gram:
+            pairs[gram] = count
+        else:
+            found[gram] = count, kind
+    k = len(found)
+    context = np.array([c for c, _ in found.values()] + [ends], dtype=np.int64)
+    number = {w: i for i, w in enumerate([*found, b""])}
+    cells = np.empty(len(pairs), dtype=np.int64)
+    for i, gram in enumerate(pairs):
+        left, _, right = gram.partition(b" ")
+        cells[i] = number[left] * (k + 2) + number[right]
+    order = np.argsort(cells)
+    arcs = cells[order], np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))[order]
+    kinds_of = np.array([n for _, n in found.values()] + [first_kinds], dtype=np.int64)
+    return Automaton(list(found), context, arcs, kinds_of), np.append(context, 0)
+
+
+def score_block(tokens: int, kinds: int, ends: int, first_kinds: int, discount: float):
+    """Scores the documents of one block, given the counts of its words and pairs."""
     unknown = discount * kinds / tokens if tokens else 1.0
 
     def score(texts: pa.Table, table: pa.Table) -> pa.Table:
-        found = table.column("word").to_pylist()
-        index = {w: i for i, w in enumerate(found)}
-        # The last entry is the end token.
-        counts = np.concatenate([table.column("count").to_numpy(), [ends]])
+        automaton, counts = block_automaton(table, ends, first_kinds)
+        # The last two entries are the end token and an unknown word.
+        k = len(automaton.number)
         known = (counts - discount) / max(tokens, 1)
         log_root = np.log10(np.where(counts > 0, known, unknown))
         log_base = np.log10((counts + 1) / (tokens + kinds + 1))
-        state = np.array([automaton.number.get(w, k + 1) for w in found] + [k], dtype=np.int64)
         rows = []
         for text in texts.column("text").to_pylist():
             n = n_known = 0
             base_score = total = 0.0
             at = k
             for run in chain(word_runs(text), [None]):
-                ids = np.array([len(found)] if run is None else [index[w] for w in run])
-                states = state[ids]
-                total += float(automaton.log_probabilities(states, at, log_root[ids]).sum())
-                base_score += float(log_base[ids].sum())
-                n += len(ids)
-                n_known += int((counts[ids] > 0).sum())
+                states = np.array([k] if run is None else [automaton.number.get(w, k + 1) for w in run], dtype=np.int64)
+                total += float(automaton.log_probabilities(states, at, log_root[states]).sum())
+                base_score += float(log_base[states].sum())
+                n += len(states)
+                n_known += int((counts[states] > 0).sum())
                 at = int(states[-1])
             rows.append((n, n_known, base_score, total))
         columns = list(zip(*rows, strict=True)) or [[], [], [], []]
@@ -184,25 +215,22 @@ def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block")
     blocks = texts.select(block, "*")
     dealt = blocks.repartition(int(min(n_blocks, 100_000)), "block")
-    parts = dealt.select("block", "held_out", "text").mapInArrow(block_words, "block bigint, word binary, count bigint")
-    parts = written(parts.groupBy("block", "word").agg(F.sum("count").alias("count")), "block-words")
-    counts = written(parts.groupBy("word").agg(F.sum("count").alias("count")), "words")
-    n, kinds, once, twice = counts.agg(
-        F.sum("count"), *[F.count_if(F.expr(f"count {test}")) for test in ("> 0", "= 1", "= 2")]
+    parts = dealt.select("block", "held_out", "text").mapInArrow(block_grams, "block bigint, gram binary, count bigint")
+    parts = written(parts, "block-grams")
+    counts = written(parts.groupBy("gram").agg(F.sum("count").alias("count")).filter("count > 0"), "grams")
+    left = F.substring_index(F.col("gram").cast("string"), " ", 1)
+    is_pair = F.instr(F.col("gram").cast("string"), " ") > 0
+    words = counts.filter(~is_pair)
+    n, kinds, once, twice = words.agg(
+        F.sum("count"), F.count("*"), *[F.count_if(F.expr(f"count = {c}")) for c in (1, 2)]
     ).first()
     discount = min(0.9, max(0.1, once / (once + 2 * twice) if once else 0.0))
     tokens, kinds = (n or 0) + ends, (kinds or 0) + (ends > 0)
-    top = counts.filter("count > 0").orderBy(F.desc("count"), "word").limit(CONTEXT_WORDS).collect()
-    frequent = [bytes(row.word) for row in top]
-    k = len(frequent)
-    training = texts.filter(~F.col("held_out")).select("text")
-    cells = training.mapInArrow(frequent_pairs(frequent), "cell bigint, count bigint")
-    pairs = np.zeros((k + 2) * (k + 2), dtype=np.int64)
-    for cell, count in cells.groupBy("cell").agg(F.sum("count")).collect():
-        pairs[cell] = count
-    # Each scanned part starts its path at a document border, so no pair is counted twice.
-    context = np.array([row["count"] for row in top] + [ends], dtype=np.int64)
-    automaton = Automaton(frequent, context, pairs.reshape(k + 2, k + 2)[: k + 1, : k + 1])
-    scorer = score_block(automaton, tokens, kinds, ends, discount)
-    known = parts.select("block", "word").join(counts, "word").select("block", "word", "count")
+    arcs = counts.filter(is_pair).groupBy(left.cast("binary").alias("gram")).agg(F.count("*").alias("kinds"))
+    arcs = written(arcs, "arcs")
+    first = arcs.filter(F.octet_length("gram") == 0).first()
+    states = words.join(arcs, "gram").select("gram", "count", "kinds")
+    table = states.unionByName(counts.filter(is_pair).withColumn("kinds", F.lit(0).cast("bigint")))
+    scorer = score_block(tokens, kinds, ends, first.kinds if first else 0, discount)
+    known = parts.select("block", "gram").join(table, "gram").select("block", "gram", "count", "kinds")
     return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scorer, _SCORES)

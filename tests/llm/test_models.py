@@ -146,6 +146,40 @@ def test_base_scores_and_counts_equal_plain_ones(spark, block_bytes):
     assert sum(r.score for r in tested) > 1.01 * sum(r.base_score for r in tested)
 
 
+def test_every_word_is_a_state(spark):
+    """More words than any bound on states; a plain model of all pairs gives the same scores."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.25)) % 3000}" for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    counts, pairs = Counter(), Counter()
+    for i, text in rows:
+        if not held[i]:
+            counts.update([*text.split(), "end"])
+            pairs.update(zip(["start", *text.split()], [*text.split(), "end"], strict=True))
+    n, ends = sum(counts.values()), counts["end"]
+    assert len(counts) > 700
+    several = Counter(c for w, c in counts.items() if w != "end")
+    off = min(0.9, max(0.1, several[1] / (several[1] + 2 * several[2])))
+    kinds = Counter(u for u, _ in pairs)
+
+    def root(w):
+        return (counts[w] - off) / n if counts[w] else off * len(counts) / n
+
+    def after(u, w):
+        c = ends if u == "start" else counts[u]
+        if not c:
+            return root(w)
+        alpha = max(pairs[u, w] - backoff.DISCOUNT, 0) / (c + backoff.STRENGTH)
+        return alpha + (1 - (c - backoff.DISCOUNT * kinds[u]) / (c + backoff.STRENGTH)) * root(w)
+
+    found = backoff.score_documents(docs, crc_bucket(F.col("doc_id"), 7) == 2, 1500)
+    got = {r.doc_id: r.score for r in found.collect()}
+    for i, text in rows:
+        path = ["start", *text.split(), "end"]
+        assert got[i] == pytest.approx(sum(math.log10(after(u, w)) for u, w in zip(path, path[1:])))
+
+
 def test_automaton_adds_up_to_one():
     rng = np.random.default_rng(0)
     k = 4
