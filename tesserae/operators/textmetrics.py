@@ -17,6 +17,9 @@ CIDER_SCALE = 10.0
 CIDER_SIGMA = 6.0
 BLEU_TINY, BLEU_SMALL = 1e-15, 1e-9
 
+#: Bits of the table that tells which hashes shared grams have; 64 to a row.
+MARK_BITS = 1 << 26
+
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -137,42 +140,59 @@ def rouge_l(pairs: DataFrame, **columns: str) -> DataFrame:
     )
 
 
+def _gram_key(gram: Column) -> list[Column]:
+    """128 bits that stand for a gram where it is shuffled; its words tell its length."""
+    return [F.xxhash64(F.lit(seed), gram).alias(f"_k{seed}") for seed in (1, 2)]
+
+
 def reference_frequency(words: DataFrame) -> DataFrame:
-    """(n, gram, _df): in how many reference texts a gram occurs."""
-    listed = [
-        F.transform(
-            F.array_distinct(ngrams(F.col("_ref"), n)),
-            _with_length(n),
-        )
-        for n in range(1, MAX_N + 1)
-    ]
-    spread = words.select(F.explode(F.concat(*listed)).alias("_g"))
-    return spread.groupBy("_g.n", "_g.gram").agg(F.count("*").alias("_df"))
+    """(_k1, _k2, _df): in how many reference texts a gram occurs."""
+    listed = [F.array_distinct(ngrams(F.col("_ref"), n)) for n in range(1, MAX_N + 1)]
+    spread = words.select(F.explode(F.concat(*listed)).alias("gram")).select(*_gram_key(F.col("gram")))
+    return spread.groupBy("_k1", "_k2").agg(F.count("*").alias("_df"))
 
 
-def _with_length(n: int):
-    return lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("gram"))
+def _marked(key: Column) -> tuple[Column, Column]:
+    """Row and bit of a key in the table of marks."""
+    return F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(MARK_BITS // 64 - 1)), key.bitwiseAND(F.lit(63)).cast("int")
 
 
 def cider(pairs: DataFrame, row_id: str = "row_id", ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """One row: mean CIDEr-D over the rows, document frequencies from the references.
 
-    A gram that occurs everywhere is combined before its shuffle and joined back per gram.
+    Grams of at most one reference all weigh the same, so their sums are taken where the row is;
+    only sums over the other grams come from a join. Before it, a broadcast table of marks, of a
+    bounded size, keeps most grams that are not shared from the shuffle; the join drops those that
+    pass by chance. A gram that occurs everywhere is combined before its shuffle.
     """
     grams = gram_counts(pairs, row_id, ref, hyp)
     words = _sides(pairs, row_id, ref, hyp)
-    frequency = reference_frequency(words)
-    corpus = words.agg(F.count("*").cast("double").alias("_docs"))
-    idf = F.ln(F.col("_docs")) - F.ln(F.greatest(F.lit(1.0), F.coalesce(F.col("_df"), F.lit(0)).cast("double")))
-    weighted = (
-        grams.join(frequency, ["n", "gram"], "left")
-        .crossJoin(F.broadcast(corpus))
-        .select("row_id", "n", (F.col("in_ref") * idf).alias("_wr"), (F.col("in_hyp") * idf).alias("_wh"))
+    corpus = F.broadcast(words.agg(F.ln(F.count("*").cast("double")).alias("_top")))
+    shared = reference_frequency(words).filter("_df > 1").crossJoin(corpus)
+    shared = shared.select("_k1", "_k2", (F.col("_top") - F.ln(F.col("_df").cast("double"))).alias("_idf"))
+    r, h = F.col("in_ref"), F.col("in_hyp")
+    terms = {"dot": F.least(r, h) * r, "nr": r * r, "nh": h * h}
+    # Counts of all grams less those of shared ones are whole numbers, so nothing is left of none.
+    every = grams.groupBy("row_id", "n").agg(
+        *[F.sum(t).alias(f"_{k}_n") for k, t in terms.items()], *[F.lit(0.0).alias(f"_{k}_w") for k in terms]
+    )
+    idf2 = F.col("_idf") * F.col("_idf")
+    place, bit = _marked(F.col("_k1"))
+    one = F.lit(1).cast("bigint")
+    marks = shared.select(place.alias("_at"), F.call_function("shiftleft", one, bit).alias("_mark")).groupBy("_at")
+    marks = F.broadcast(marks.agg(F.bit_or("_mark").alias("_marks")))
+    keyed = grams.select("row_id", "n", *_gram_key(F.col("gram")), "in_ref", "in_hyp").withColumn("_at", place)
+    likely = keyed.join(marks, "_at").filter(F.call_function("shiftrightunsigned", F.col("_marks"), bit).bitwiseAND(one) == one)
+    joined = likely.drop("_at", "_marks").join(shared, ["_k1", "_k2"])
+    corrected = joined.groupBy("row_id", "n").agg(
+        *[F.sum(-t).alias(f"_{k}_n") for k, t in terms.items()], *[F.sum(t * idf2).alias(f"_{k}_w") for k, t in terms.items()]
+    )
+    summed = every.unionByName(corrected).groupBy("row_id", "n").agg(
+        *[F.sum(f"_{k}_{x}").alias(f"_{k}_{x}") for k in terms for x in "nw"]
     )
-    per_n = weighted.groupBy("row_id", "n").agg(
-        F.sum(F.least("_wh", "_wr") * F.col("_wr")).alias("_dot"),
-        F.sqrt(F.sum(F.col("_wr") * F.col("_wr"))).alias("_nr"),
-        F.sqrt(F.sum(F.col("_wh") * F.col("_wh"))).alias("_nh"),
+    total = {k: F.col(f"_{k}_n") * F.col("_top") * F.col("_top") + F.col(f"_{k}_w") for k in terms}
+    per_n = summed.crossJoin(corpus).select(
+        "row_id", "n", total["dot"].alias("_dot"), F.sqrt(total["nr"]).alias("_nr"), F.sqrt(total["nh"]).alias("_nh")
     )
     # Lengths count bigrams, as the published implementation does.
     size = {side: F.greatest(F.size(side) - 1, F.lit(0)).cast("double") for side in ("_ref", "_hyp")}

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +56,31 @@ def test_cider_prefers_rare_words(spark):
     assert score.rows == 3 and score.cider == pytest.approx(10 / 3, rel=0.05)
 
 
+def plain_cider(texts):
+    grams = [[Counter(tuple(t.split()[i : i + n]) for n in range(1, 5) for i in range(len(t.split()) - n + 1)) for t in pair] for pair in texts]
+    df = Counter(g for ref, _ in grams for g in ref)
+    total = 0
+    for (ref, hyp), (a, b) in zip(grams, texts, strict=True):
+        delta = max(len(b.split()) - 1, 0) - max(len(a.split()) - 1, 0)
+        for n in range(1, 5):
+            wr, wh = ({g: c * (math.log(len(texts)) - math.log(max(1, df[g]))) for g, c in x.items() if len(g) == n} for x in (ref, hyp))
+            dot = sum(min(wh.get(g, 0), w) * w for g, w in wr.items())
+            nr, nh = (math.sqrt(sum(w * w for w in x.values())) for x in (wr, wh))
+            total += (dot / (nr * nh) if nr and nh else dot) * math.exp(-(delta**2) / 72)
+    return total / 4 / len(texts) * 10
+
+
+def test_cider_shuffles_no_gram_as_text(spark):
+    rng = random.Random(7)
+    texts = [[" ".join(["all", *(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 30)))]) for _ in range(2)] for _ in range(60)]
+    texts += [["all", "all all"], ["all", ""], ["all", "other"]]
+    for some in (texts, texts[:1], [["all x", "all y"], ["all x", "all x"]]):
+        score = textmetrics.cider(pairs(spark, *some))
+        assert score.first().cider == pytest.approx(plain_cider(some))
+        plan = score._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(" in plan and not re.search(r"hashpartitioning\([^)]*gram", plan)
+
+
 def evidence(spark, groups):
     return spark.createDataFrame([(k, i, t) for k, texts in groups.items() for i, t in enumerate(texts)], "k string, i int, text string")
 
