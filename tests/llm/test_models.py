@@ -4,14 +4,18 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import backoff, importance, langid
 from tesserae.llm.common import crc_bucket
+from tesserae.runtime import shared_dir
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 SYLLABLES = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "en", "ver", "ung"], "cc": ["eau", "oi", "tion", "é"]}
@@ -180,6 +184,75 @@ def test_every_word_is_a_state(spark):
         assert got[i] == pytest.approx(sum(math.log10(after(u, w)) for u, w in zip(path, path[1:])))
 
 
+def on_disk(spark):
+    """Shuffle files and written tables of the session, with their sizes."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = manager.getAllFiles()
+    found = {files.apply(i).getPath(): files.apply(i).length() for i in range(files.size())}
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    return found | {str(f): f.stat().st_size for f in shared.rglob("*") if f.is_file()}
+
+
+def test_counts_take_less_disk_than_twice_the_texts(spark):
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(w) for w in rng.choice(list("abcdefghij"), (20_000, 6))])
+    rows = [(i, " ".join(rng.choice(words, 2000))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    before = on_disk(spark)
+    assert len(backoff.score_documents(docs, F.col("doc_id") % 7 == 2).collect()) == 200
+    taken = sum(size for path, size in on_disk(spark).items() if path not in before)
+    assert 0 < taken < 2 * sum(len(text) for _, text in rows)
+
+
+def by_shard(tables, tally):
+    """The answers of all shards."""
+    rows = pa.concat_tables([t for t in tables if t.num_rows])
+    shards = rows.column("shard").unique().to_pylist()
+    return pa.concat_tables([tally(rows.filter(pc.equal(rows.column("shard"), s))) for s in shards])
+
+
+def scored(blocks, shards):
+    """Scores of blocks of (doc_id, held out, text), the steps of the job one after the other."""
+    rows = []
+    for i, docs in enumerate(blocks):
+        made = backoff._Block()
+        for doc in docs:
+            made.add(*doc)
+        rows.append(made.row(i, shards))
+    asked = [pa.table({"block": [r["block"]] * len(r["asked"]), **pa.Table.from_pylist(r["asked"]).to_pydict()}) for r in rows]
+    words = by_shard(asked, backoff.tally_words).to_pylist()
+    most, ends = 1 + shards * max(w["distinct"] for w in words), sum(not held for docs in blocks for _, held, _ in docs)
+    rows = [r | {"known": [w for w in words if w["block"] == r["block"]], "answers": []} for r in rows]
+    batches = [pa.RecordBatch.from_pylist([r]) for r in rows]
+    pairs = pa.Table.from_batches(backoff.ask_pairs(shards, most, ends)(batches))
+    answers = by_shard([pairs], backoff.tally_pairs(most)).to_pylist()
+    rows = [r | {"answers": [a for a in answers if a["block"] == r["block"]]} for r in rows]
+    batches = [pa.RecordBatch.from_pylist([r]) for r in rows]
+    tokens, kinds = ends + sum(w["tokens"] for w in words), 1 + sum(w["kinds"] for w in words)
+    found = backoff.score_blocks(shards, most, ends, tokens, kinds, 0.5)(batches)
+    return pairs.num_rows, pa.Table.from_batches(found).to_pylist()
+
+
+def test_frequent_states_in_several_shards_and_long_blocks_in_runs_score_alike(monkeypatch):
+    rng = random.Random(2)
+    docs = [(i, i % 7 == 2, " ".join(f"w{int(rng.paretovariate(0.6)) % 90}" for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    blocks = [docs[:25], docs[25:26], docs[26:]]
+    parts, want = scored(blocks, 3)
+    assert parts <= 9 and all(r["score"] < 0 for r in want)
+    assert scored(blocks, 40)[1] == want
+    # Frequent states in 3 or 40 shards, a few tokens at a time.
+    monkeypatch.setattr(backoff, "STATE_TOKENS", 4)
+    monkeypatch.setattr(backoff, "TOKENS_AT_ONCE", 7)
+    assert scored(blocks, 3)[1] == want
+    assert scored(blocks, 40)[1] == want
+
+
+def test_numbers_are_packed_whole():
+    for numbers in ([], [0], [5, 5, 6, 1 << 62], list(range(1000))):
+        assert backoff.unpack(backoff.pack(np.array(numbers, dtype=np.int64))).tolist() == numbers
+        assert backoff.unpack_ascending(backoff.pack_ascending(np.array(numbers, dtype=np.int64))).tolist() == numbers
+
+
 def test_automaton_adds_up_to_one():
     rng = np.random.default_rng(0)
     k = 4
