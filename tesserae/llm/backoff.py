@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import word_runs, written
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text for each shard, and the fewest shards: small inputs are spread as well.
-SHARD_BYTES, SHARDS = 16 << 20, 64
+SHARD_BYTES, SHARDS = 32 << 20, 64
 #: Tokens whose pairs are sorted or scored at once.
 TOKENS_AT_ONCE = 1_000_000
 #: Occurrences of a state for each shard that its pairs are dealt to.
@@ -286,18 +286,27 @@ def tally_pairs(most: int):
     arcs that each of its states has in the shard."""
 
     def tally(asked: pa.Table) -> pa.Table:
-        own = [unpack_ascending(p) for p in asked.column("pairs").to_pylist()]
-        sizes = [len(mine) for mine in own]
-        own = np.concatenate(own)
-        pairs, place = np.unique(own, return_inverse=True)
+        # Arrays of all pairs are dropped as soon as they can be.
+        own = [unpack_ascending(p.as_py()) for p in asked.column("pairs")]
+        ends = np.cumsum([len(mine) for mine in own])
+        pairs = np.concatenate(own)
         del own
-        counts = join([unpack(c) for c in asked.column("counts").to_pylist()])
+        order = np.argsort(pairs, kind="stable")
+        pairs = pairs[order]
+        new = np.append(True, pairs[1:] != pairs[:-1])
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
+        pairs = pairs[new]
+        counts = join([unpack(c.as_py()) for c in asked.column("counts")])
         totals = np.bincount(place, counts, minlength=len(pairs)).astype(np.int64)
-        states, state = np.unique(pairs // (most + 1), return_inverse=True)
-        kinds = np.bincount(state[totals > 0], minlength=len(states))
+        del counts
+        new = np.append(True, np.diff(pairs // (most + 1)) != 0)
+        kinds = np.add.reduceat(totals > 0, np.flatnonzero(new), dtype=np.int64)
+        state = np.cumsum(new, dtype=np.int32) - 1
         answers, kinds_of = [], []
-        for end, n in zip(np.cumsum(sizes), sizes, strict=True):
-            here = place[end - n : end]
+        for start, end in zip([0, *ends], ends, strict=False):
+            here = place[start:end]
             answers.append(pack(totals[here]))
             mine = state[here]
             kinds_of.append(pack(kinds[mine[np.append(True, mine[1:] != mine[:-1])]]))
@@ -439,4 +448,5 @@ def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_
         tally_pairs(most), "block bigint, shard int, totals binary, kinds binary"
     )
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "totals", "kinds")).alias("answers"))
-    return numbered.join(answers, "block").mapInArrow(score_blocks(shards, most, ends, tokens, kinds, discount), _SCORES)
+    scorer = score_blocks(shards, most, ends, tokens, kinds, discount)
+    return numbered.join(answers, "block").mapInArrow(scorer, _SCORES)
