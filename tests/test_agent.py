@@ -202,3 +202,47 @@ def test_rounds_store_no_row_per_question_and_region(spark, monkeypatch):
     assert run.evidence.count() == 30 * (20 + 4 * 10)
     # The regions, or five described ones per question.
     assert max(sizes) <= max(n, 30 * 5)
+
+
+def operators_above(plan, kind):
+    """Names of the operators above each operator of a kind, of a plan as text."""
+    stack, found = [], []
+    for line in plan.splitlines():
+        name = line.lstrip(" :+-*()0123456789")
+        depth = len(line) - len(line.lstrip(" :+-"))
+        stack = [(d, n) for d, n in stack if d < depth]
+        if name.startswith(kind):
+            found.append([n for _, n in stack])
+        stack.append((depth, name))
+    return found
+
+
+@pytest.mark.parametrize("shelf", [1 << 16, 7])
+def test_evidence_exchanges_no_row_per_question_and_region(spark, monkeypatch, shelf):
+    """Regions of two images whose facts are too many to broadcast, in one shelf and in several."""
+
+    def run():
+        backend = Rules(sufficient=F.col("query_id") == 12)
+        asked = questions(spark, *range(10, 19)).union(questions(spark, 1, 2, image="other"))
+        found = run_agent(asked, regions(spark, 52).union(regions(spark, 11, image="other")), backend)
+        located = backend.concluded[1].select("query_id", "region_id", "rk", "iteration", "x", "y", "width", "scale")
+        return found.evidence, located
+
+    evidence, located = run()
+    wanted = sorted(evidence.collect()), sorted(located.collect())
+    monkeypatch.setattr(agent, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(agent, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(agent, "SHELF_REGIONS", shelf, raising=False)
+    monkeypatch.setattr(agent, "SHELF_QUESTIONS", 2, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        evidence, located = run()
+        plan = evidence._jdf.queryExecution().executedPlan().toString()
+        assert (sorted(evidence.collect()), sorted(located.collect())) == wanted
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The last explosion, into regions, is above every exchange.
+    made = [above for kind in ("Generate posexplode", "Generate inline") for above in operators_above(plan, kind)]
+    assert len(made) == 5
+    assert not [name for above in made for name in above if "Exchange" in name or "Join" in name]
