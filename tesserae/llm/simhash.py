@@ -129,13 +129,16 @@ def links(
     fps: DataFrame,
     max_bits: int = MAX_BITS,
     bucket_limit: int = BUCKET_LIMIT,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Links (view, a, b) between fingerprints of a written table of distinct (view, fp).
 
-    Their classes are those of all pairs within ``max_bits``, at any ``bucket_limit``.
+    Their classes are those of all pairs within ``max_bits``, at any ``bucket_limit``. With ``scratch``
+    the tables of the way, which the links still read, can be deleted later.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two halves only find all links of up to three differing bits")
+    written = (scratch or Scratch(fps.sparkSession)).written
     keys = ["view", "mask", "value"]
     parts = -(-(fps.count() + 1) * SIGNATURES // SIGNATURES_A_TASK)
     members = fps.repartition(parts).select(
@@ -183,25 +186,41 @@ def near_duplicates(
     return hashed.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def _linked_texts(nodes: DataFrame, max_bits: int, bucket_limit: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of texts (node, fp) that SimHash links; a fingerprint stands for its least node."""
+    fps = scratch.written(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fps")
+    found = links(fps.select(F.lit(0).alias("view"), "fp"), max_bits, bucket_limit, scratch)
+    for end in ("a", "b"):
+        named = fps.select(F.col("fp").alias(end), F.col("least").alias(f"node_{end}"))
+        found = found.join(named, end)
+    same = nodes.join(fps, "fp").filter("node <> least").select(F.col("node").alias("node_a"), F.col("least").alias("node_b"))
+    both = found.select("node_a", "node_b").unionByName(same)
+    ends = F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")
+    return scratch.written(both.select(*ends).distinct(), "linked")
+
+
 def drop_near_duplicates(
     docs: DataFrame,
     width: int = 5,
     similarity: float = 0.8,
     bucket_limit: int = BUCKET_LIMIT,
+    max_bits: int = MAX_BITS,
 ) -> DataFrame:
     """``docs`` without near copies: of each component the row of least id stays.
 
     Texts are linked if their shingles of ``width`` words have a Jaccard similarity of at least
-    ``similarity``; ``shared_shingles`` finds all these links. Equal texts are one node, named by
-    a 64-bit hash. A null id comes last; of repeated rows one stays.
+    ``similarity``. What SimHash links, as :func:`near_duplicates` does, is verified on the texts first;
+    fingerprints lose some links and make some that are none, so ``shared_shingles`` finds all others.
+    Equal texts are one node, named by a 64-bit hash. A null id comes last; of repeated rows one stays.
     """
     scratch = Scratch(docs.sparkSession)
     node = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    keyed = scratch.written(docs.select("doc_id", node.alias("node")), "keyed")
+    keyed = scratch.written(docs.select("doc_id", node.alias("node"), fingerprints(F.col("text")).alias("fp")), "keyed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    nodes = scratch.written(keyed.groupBy("node").agg(F.min(order).alias("least")), "nodes")
+    nodes = scratch.written(keyed.groupBy("node").agg(F.min(order).alias("least"), F.min("fp").alias("fp")), "nodes")
+    linked = _linked_texts(nodes.select("node", "fp"), max_bits, bucket_limit, scratch)
     texts = docs.select(node.alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    roots = similar_components(texts, width, similarity, bucket_limit, scratch)
+    roots = similar_components(texts, width, similarity, bucket_limit, scratch, linked)
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = scratch.written(rooted, "rooted")
     keepers = rooted.groupBy("root").agg(F.min("least").alias("keeper")).select(F.col("keeper.node").alias("node"), F.col("keeper.doc_id").alias("kept"))

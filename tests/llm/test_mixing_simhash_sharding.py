@@ -220,6 +220,38 @@ def test_a_pair_is_handed_on_by_one_group_only(spark, monkeypatch):
     assert len(first) == len(set(first))
 
 
+def test_stage_verifies_what_simhash_links(spark, monkeypatch):
+    """The stage runs SimHash on all texts: its links are the first that are verified, and those of texts
+    that are not similar join nothing."""
+    rng = random.Random(43)
+    line = "the line that is repeated in every text of this bucket "
+    texts = [line * 60 + " ".join(f"t{rng.randrange(10**6)}" for _ in range(40)) for _ in range(4)]
+    for n in (400, 500, 600) * 4:
+        words = [f"w{rng.randrange(4000)}" for _ in range(n)]
+        texts += [" ".join(words), edited(rng, words, 1)]
+    texts += [None, "", "a b", "A  b"]
+    handed = []
+    real = shared_shingles._verified
+
+    def kept(pairs, *arguments):
+        handed.append([tuple(r) for r in pairs.select("a", "b").collect()])
+        return real(pairs, *arguments)
+
+    monkeypatch.setattr(shared_shingles, "_verified", kept)
+    assert kept_ids(spark, texts) == kept_by_brute_force(texts)
+    nodes = documents(spark, [(i, t, "s") for i, t in enumerate(texts)]).select(F.xxhash64(F.coalesce("text", F.lit(""))))
+    node = [r[0] for r in nodes.collect()]
+    root = classes_of(
+        range(len(texts)),
+        lambda a, b: (plain_fingerprint(texts[a]) ^ plain_fingerprint(texts[b])).bit_count() <= simhash.MAX_BITS,
+    )
+    want = {frozenset(node[i] for i in root if root[i] == r) for r in root.values()}
+    linked = classes_of({n for pair in handed[0] for n in pair}, lambda a, b: (min(a, b), max(a, b)) in handed[0])
+    found = {frozenset(n for n in linked if linked[n] == r) for r in linked.values()}
+    assert found == {w for w in want if len(w) > 1}
+    assert len(found) > 5
+
+
 def water(sizes, weights=(5, 2, 1), budget=1.5, cap=2.0):
     """Targets by repeated resharing of what goes beyond the caps."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
