@@ -246,3 +246,22 @@ def test_evidence_exchanges_no_row_per_question_and_region(spark, monkeypatch, s
     made = [above for kind in ("Generate posexplode", "Generate inline") for above in operators_above(plan, kind)]
     assert len(made) == 5
     assert not [name for above in made for name in above if "Exchange" in name or "Join" in name]
+
+
+@pytest.mark.parametrize("at_once", [1 << 22, 25])
+def test_rows_of_neighbouring_questions_come_by_number(spark, monkeypatch, at_once):
+    monkeypatch.setattr(agent, "PICKS_AT_ONCE", at_once)
+    rows = [(q, "a" if q < 6 else "b", [(q * 7 + 3 * i) % 11 + 70_000 * (q == 2) + 1 for i in range(10)]) for q in range(9)]
+    rows += [(9, "b", []), (10, "b", [4]), (None, None, [5, 2])]
+    lists = spark.createDataFrame(rows, "query_id long, image_id string, numbers array<int>").coalesce(1)
+    found = [tuple(r) for r in agent._by_number(lists).collect()]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(found, key=key) == sorted(((q, m, i, n) for q, m, ns in rows for i, n in enumerate(ns)), key=key)
+    if at_once > 100:
+        assert [(m or "c", n) for _, m, _, n in found] == sorted((m or "c", n) for _, m, _, n in found)
+
+
+def test_shelves_that_are_broadcast_hold_any_number_of_regions(spark, monkeypatch):
+    wanted = sorted(run_agent(questions(spark, 1, 2, 3), regions(spark, 52), Rules()).evidence.collect())
+    monkeypatch.setattr(agent, "SHELF_REGIONS", 7)
+    assert sorted(run_agent(questions(spark, 1, 2, 3), regions(spark, 52), Rules()).evidence.collect()) == wanted
